@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_model, sql
 from ._shared import shared_dir, table
+from .fingerprints import edit_likeness
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import best_fit_packing
@@ -48,6 +49,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -60,6 +67,7 @@ QUERIES = {
     "op5_bradley_terry_quality": op5_bradley_terry_quality,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_lz_fingerprints": op8_lz_fingerprints,
     "op10_pareto_mixing": op10_pareto_mixing,
 }
 
