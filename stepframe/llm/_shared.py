@@ -105,6 +105,24 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Bytes of text hashed at once.
+_BLOCK = 1 << 20
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, in blocks so that long texts need little more memory than they have words."""
+    out, at = [], 0
+    array = np.frombuffer(data, np.uint8)
+    while at < len(data):
+        end = min(len(data), at + _BLOCK)
+        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        block = array[at:end]
+        out.append(span_hashes(block, *word_spans(block)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def uniform(*columns, seed: int = 0):
     """A number in (0, 1) that depends on the columns and the seed only; SQL can restate it (md5)."""
     key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))

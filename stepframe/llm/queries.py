@@ -9,7 +9,9 @@ from . import language_id, quality_model, sql
 from ._shared import shared_dir, table
 from .fingerprints import edit_likeness
 from .line_dedup import line_dedup
+from .lm_scoring import lm_score
 from .mixing import mix
+from .ngram_join import ngram_join
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
 from .warc import read_archive, write_archive
@@ -30,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
 def op5_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -55,6 +61,10 @@ def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,10 +74,12 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_bradley_terry_quality": op5_bradley_terry_quality,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_lz_fingerprints": op8_lz_fingerprints,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_pareto_mixing": op10_pareto_mixing,
 }
 
