@@ -1 +1,10 @@
 """stepframe: auditable, declarative data-transformation plans executed lazily on Spark."""
+
+from .filters import Col, Filter
+from .plans.audit import frame_hash
+from .plans.chunked import ChunkedProtocol
+from .plans.plan import Plan
+from .plans.protocol import Protocol
+from .plans.validate import DryRun, SchemaValidationError, Validation
+
+__all__ = ["ChunkedProtocol", "Col", "DryRun", "Filter", "Plan", "Protocol", "SchemaValidationError", "Validation", "frame_hash"]
