@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .code import code
 from .functions import c
 from .types import is_datetime, is_numeric, is_string
 
@@ -64,8 +65,8 @@ class Filter:
             return f"~{f['operand']!r}"
         if self.type in _COMPARE:
             sign = {"eq": "==", "ne": "!=", "gt": ">", "ge": ">=", "lt": "<", "le": "<="}[self.type]
-            return f"(Col({f['column']!r}) {sign} {f['value']!r})"
-        args = [repr(v) if k != "literal" else f"literal={v!r}" for k, v in f.items() if k != "column"]
+            return f"(Col({f['column']!r}) {sign} {code(f['value'])})"
+        args = [code(v) if k != "literal" else f"literal={v!r}" for k, v in f.items() if k != "column"]
         return f"Col({f['column']!r}).{self.type}({', '.join(args)})"
 
     def __and__(self, other: Filter) -> Filter:

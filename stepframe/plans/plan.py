@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from .. import operators  # noqa: F401  fills the registry
+from ..code import code
 from ..filters import Filter
 from ..registry import REGISTRY, Operator
 from ..steps import Step, decode
@@ -185,14 +186,12 @@ class Plan:
             for p in REGISTRY[s.operation].signature.parameters.values():
                 v = s.params[p.name]
                 if p.default is p.empty or v != p.default or type(v) is not type(p.default):
-                    shown.append(f"{p.name}={v!r}")
+                    shown.append(f"{p.name}={code(v)}")
                     names |= {"Col"} if isinstance(v, Filter) else set()
             lines.append(f"    .{s.operation}({', '.join(shown)})")
             if s.reason is not None:
                 lines.append(f"    .because({s.reason!r})")
-        # values are shown by repr(), which names the standard library's modules
-        head = [f"import {m}" for m in ("datetime", "decimal") if any(f"{m}." in x or (m == "decimal" and "Decimal(" in x) for x in lines)]
-        lines = [x.replace("=Decimal(", "=decimal.Decimal(") for x in lines]
+        head = [f"import {m}" for m in ("datetime", "decimal") if any(f"{m}." in x for x in lines)]
         head += [""] * bool(head) + [f"from stepframe import {', '.join(sorted(names))}"]
         return "\n".join([*head, "", f"{variable} = (", "    Plan()", *lines, ")"]) + "\n"
 
