@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 from typing import Any
 
@@ -146,17 +147,18 @@ def col_add(df: DataFrame, ctx: Context, new_column: str, expr: str | float | No
     return replace(df, new_column, x if constant is not None else F.lit(None).cast("string"))
 
 
-@operator(is_new("column"), prepare=lambda p: p if p["length"] > 0 else _raise("length must be positive"))
-def col_add_uuid(df: DataFrame, ctx: Context, column: str, length: int = 16) -> DataFrame:
-    """A random alphanumeric id for each row, written out at once so that a recomputation can't change it."""
-    out = replace(df, column, F.randstr(F.lit(length)))
-    if ctx.dry or not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return out
-    return out.checkpoint()
+def _uuid_params(p: dict[str, Any]) -> dict[str, Any]:
+    if p["length"] < 1:
+        raise ValueError("length must be positive")
+    # kept in the step: a lost partition is then computed again with the same ids
+    return p | {"seed": random.randrange(2**31) if p["seed"] is None else p["seed"]}
 
 
-def _raise(message: str) -> Any:
-    raise ValueError(message)
+@operator(is_new("column"), prepare=_uuid_params)
+def col_add_uuid(df: DataFrame, ctx: Context, column: str, length: int = 16, seed: int | None = None) -> DataFrame:
+    """A random alphanumeric id for each row, written out at once where the session has a checkpoint folder."""
+    out = replace(df, column, F.randstr(F.lit(length), F.lit(seed)))
+    return out.checkpoint() if not ctx.dry and df.sparkSession.sparkContext.getCheckpointDir() else out
 
 
 @operator(all_exist("columns"), is_new("new_column"))

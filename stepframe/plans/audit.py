@@ -16,7 +16,7 @@ from ..registry import REGISTRY
 from ..steps import Step
 from .context import HIDDEN, Context
 from .protocol import Protocol
-from .validate import order_for
+from .validate import Orderer
 
 LEVELS = ("full", "shape", "endpoints", "none")
 
@@ -88,10 +88,11 @@ def run(steps: Sequence[Step], data: DataFrame, references: dict[str, DataFrame]
     if audit not in LEVELS:
         raise ValueError(f"audit must be one of {LEVELS}, got {audit!r}")
     ctx, protocol, began = Context(references), Protocol(audit), time.perf_counter()
-    df = order_for(data, ctx, list(steps), order_by)
+    order = Orderer(ctx, steps, order_by)
+    df = order.source(data)
     if audit == "none":
-        for s in steps:
-            df = REGISTRY[s.operation].lower(df, ctx, **s.params)
+        for i, s in enumerate(steps):
+            df = REGISTRY[s.operation].lower(order.before(df, i), ctx, **s.params)
         return finish(df, ctx), protocol
     hashed, every = audit in ("full", "endpoints"), audit in ("full", "shape")
     waiting: list[tuple[int, _Watch]] = []
@@ -116,7 +117,7 @@ def run(steps: Sequence[Step], data: DataFrame, references: dict[str, DataFrame]
         op, start = REGISTRY[s.operation], time.perf_counter()
         if waiting and (op.barrier or op.open_schema(s.params) or op.scope(s.params).value == "global"):
             df = barrier(df)
-        df = op.lower(df, ctx, **s.params)
+        df = op.lower(order.before(df, i - 1), ctx, **s.params)
         if every or i == len(steps):
             df = watch(i, df)
             if op.barrier:

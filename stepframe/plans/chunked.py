@@ -118,12 +118,12 @@ def number_chunks(df: DataFrame, keys: list[str], chunk_size: int) -> DataFrame:
         for i, k in enumerate(keys):
             cond = cond & c(k).eqNullSafe(F.col(f"{HIDDEN}k{i}"))
         return df.join(placed, cond).drop(*[f"{HIDDEN}k{i}" for i in range(len(keys))])
-    df = df.withColumn(f"{HIDDEN}pos", F.monotonically_increasing_id())
-    part = F.shiftright(F.col(f"{HIDDEN}pos"), 33)
+    df = df.withColumn(f"{HIDDEN}row", F.monotonically_increasing_id())
+    part = F.shiftright(F.col(f"{HIDDEN}row"), 33)
     sizes = df.groupBy(part.alias(f"{HIDDEN}p")).agg(F.count(F.lit(1)).alias(f"{HIDDEN}t"))
     sizes = sizes.select(f"{HIDDEN}p", F.coalesce(F.sum(f"{HIDDEN}t").over(Window.orderBy(f"{HIDDEN}p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{HIDDEN}o"))
-    place = F.col(f"{HIDDEN}pos").bitwiseAND(F.lit((1 << 33) - 1)) + F.col(f"{HIDDEN}o")
-    return df.withColumn(f"{HIDDEN}p", part).join(F.broadcast(sizes), f"{HIDDEN}p").withColumn(CHUNK, F.floor(place / chunk_size).cast("long")).drop(f"{HIDDEN}p", f"{HIDDEN}o", f"{HIDDEN}pos")
+    place = F.col(f"{HIDDEN}row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col(f"{HIDDEN}o")
+    return df.withColumn(f"{HIDDEN}p", part).join(F.broadcast(sizes), f"{HIDDEN}p").withColumn(CHUNK, F.floor(place / chunk_size).cast("long")).drop(f"{HIDDEN}p", f"{HIDDEN}o", f"{HIDDEN}row")
 
 
 def run_chunked(plan: Any, source: Any, partition_key: Any, chunk_size: int, references: dict[str, DataFrame], strict: bool, spark: SparkSession | None) -> tuple[DataFrame, ChunkedProtocol]:
@@ -134,7 +134,7 @@ def run_chunked(plan: Any, source: Any, partition_key: Any, chunk_size: int, ref
     (``strict_chunking=False``) are reported as one chunk. An empty source gives an empty frame of the
     transformed schema.
     """
-    from .validate import order_for
+    from .validate import start_of_order
 
     keys, began = as_list(partition_key), time.perf_counter()
     if isinstance(source, DataFrame):
@@ -150,7 +150,8 @@ def run_chunked(plan: Any, source: Any, partition_key: Any, chunk_size: int, ref
     plan.validate_chunked(keys, data, strict=strict).raise_if_invalid()
     protocol = ChunkedProtocol(name, keys, chunk_size, [s.to_dict() for s in plan.steps])
     ctx = Context(references)
-    df = order_for(data, ctx, list(plan.steps), None)
+    # chunks are joined to the rows, so their order is taken at the source
+    df = ctx.number_rows(data) if start_of_order(plan.steps) is not None else data
     df = number_chunks(df, keys, chunk_size).persist()
     hashed = lambda d: [x for x in metrics(d, True)]
     before = {r[CHUNK]: r.asDict() for r in df.groupBy(CHUNK).agg(*hashed(df)).collect()}  # one row a chunk

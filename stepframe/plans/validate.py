@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..registry import REGISTRY
+from ..registry import REGISTRY, Scope
 from ..steps import Step
 from .context import HIDDEN, Context
 
@@ -84,19 +84,32 @@ class DryRun:
         print(self.summary())
 
 
-def order_for(df: DataFrame, ctx: Context, steps: Sequence[Step], order_by: str | Sequence[str] | None) -> DataFrame:
-    """Add the hidden order if a step depends on row order, and only then: numbering rows blocks pushdown."""
-    keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
-    if keys and any(REGISTRY[s.operation].ordered(s.params) for s in steps):
-        return ctx.declare(df, [(k, False) for k in keys])
-    for s in steps:
-        if s.operation == "rows_sort":
-            if any(REGISTRY[x.operation].ordered(x.params) for x in steps[steps.index(s) + 1 :]):
-                return ctx.number_rows(df)  # ties
-            return df
-        if REGISTRY[s.operation].ordered(s.params):
-            return ctx.number_rows(df)
-    return df
+def start_of_order(steps: Sequence[Step]) -> int | None:
+    """Before which step rows must be numbered, if at all.
+
+    Row-wise steps leave rows where they are, so numbering them later gives the same order; and the later,
+    the better, since filters above the numbers don't reach the scan.
+    """
+    ordered = next((i for i, s in enumerate(steps) if REGISTRY[s.operation].ordered(s.params)), None)
+    if ordered is None:
+        return None
+    moving = next((i for i, s in enumerate(steps[:ordered]) if REGISTRY[s.operation].scope(s.params) is not Scope.ROW), ordered)
+    return min(moving, ordered)
+
+
+class Orderer:
+    """Gives the steps the row order they need, as late as possible: declared columns, or numbers of rows."""
+
+    def __init__(self, ctx: Context, steps: Sequence[Step], order_by: str | Sequence[str] | None) -> None:
+        self.ctx, self.start = ctx, start_of_order(steps)
+        self.keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
+
+    def source(self, df: DataFrame) -> DataFrame:
+        """Declared columns are copied at the source, before a step can change them."""
+        return self.ctx.declare(df, [(k, False) for k in self.keys]) if self.keys and self.start is not None else df
+
+    def before(self, df: DataFrame, step: int) -> DataFrame:
+        return self.ctx.number_rows(df) if step == self.start and not self.keys else df
 
 
 def _visible(df: DataFrame) -> dict[str, T.DataType]:
@@ -111,9 +124,11 @@ def dry_run(steps: Sequence[Step], data: DataFrame, references: dict[str, DataFr
     """
     ctx = Context(references or {}, dry=True)
     empty = data.sparkSession.createDataFrame([], data.schema)
-    df = order_for(empty, ctx, list(steps), None)
+    order = Orderer(ctx, steps, None)
+    df = order.source(empty)
     out, errors, open_schema = [], [], False
     for i, s in enumerate(steps, 1):
+        df = order.before(df, i - 1)
         op, before = REGISTRY[s.operation], _visible(df)
         problems = op.problems(before, s.params)
         after = df

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import Col, Plan, frame_hash
-from .sources import read_table
+from .sources import read_table, shared_folder
 from .streaming import stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,7 +264,7 @@ ORACLE["plan_frame_hash"] = "SELECT true AS same, false AS same_after_change, CA
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row-wise plan on a stream that reads the table as files, into a memory table."""
     plan = Plan().rows_filter(Col("event_type") == "purchase").math_multiply("value", 2).col_select(["event_id", "value"])
-    return stream_table(spark, plan, f"{sf_dir}/events.parquet", tempfile.mkdtemp(prefix="stepframe-stream-"))
+    return stream_table(spark, plan, f"{sf_dir}/events.parquet", shared_folder(spark))
 
 
 QUERIES["stream_plan"] = streamed

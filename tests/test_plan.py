@@ -195,6 +195,8 @@ def test_chunks(spark, tmp_path):
     assert protocol.total_input_rows == 10 and protocol.total_output_rows == 7 and protocol.num_chunks >= 2
     out, protocol = Plan().math_add("v", 1).process_chunked(d.coalesce(1), chunk_size=4)
     assert [c["input_rows"] for c in protocol.chunks] == [4, 4, 2]
+    out, _ = Plan().rows_head(3).process_chunked(d.coalesce(1), chunk_size=4, strict_chunking=False)
+    assert [r.v for r in out.collect()] == [0, 1, 2]
     out, protocol = Plan().col_drop("v").process_chunked(d.limit(0))
     assert out.columns == ["k", "t"] and out.count() == 0
     with pytest.raises(FileNotFoundError, match="Source file not found"):
