@@ -9,6 +9,8 @@ from ._shared import SPACE_CLASS, materialize, replace_columns, uniform
 
 #: Cells of one level of the histogram over ranks.
 _CELLS = 1024
+#: How many documents at most close the gap that a source's ranks leave.
+_CLOSING = 4
 
 
 def word_count(text: Column) -> Column:
@@ -43,19 +45,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Every document gets floor(target / source_size) certain copies. For one more copy, its inclusion
     probability p is the fraction that is left (other for every source), and documents are ranked by the
     odds of a fixed random number over the odds of p (Pareto order sampling). The documents of least rank
-    are taken as long as their words stay within those that are missing. Of the others, the document
-    whose size is nearest to the gap that is left closes it (ties: by rank), if that comes nearer at all.
+    are taken as long as their words stay within those that are missing. The gap that is left is closed
+    by up to three others, each the largest that fits (ties: by rank), and by the one nearest to what then
+    remains, if that comes nearer at all.
 
     The rank at which a source stops is found on two levels of histograms (source x 1024 cells), so that
     no task ever sorts a whole source; only the documents of one last cell are put in order.
 
     Defined results: null text has size 0; size 0 takes 0 words; a null source is a source of its own, the
-    last; rows with one id draw the same random number and are taken one by one; equal ranks go by id, then
-    size; an empty table gives an empty table. Added columns replace same-named ones.
+    last; rows with one id draw the same random number, and those that agree in source and size as well are
+    taken all or none; equal ranks go by id, then size; an empty table gives an empty table. Added columns replace same-named ones.
     """
     drawn = replace_columns(docs.select(*[f"`{c}`" for c in docs.columns]), {"size": word_count(F.col(text_col)), "__u": uniform(F.col(id_col), seed=seed)})
-    base = materialize(drawn.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), "size", "__u"), "sizes")
-    targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cycle=cycle, max_copies=max_copies)
+    base = drawn.groupBy(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), "size", "__u").agg((F.count(F.lit(1)) * F.col("size")).alias("__mass"))
+    base = materialize(base, "sizes")
+    targets = source_targets(base.groupBy("source").agg(F.sum("__mass").alias("source_size")), cycle=cycle, max_copies=max_copies)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("__sure", F.floor(rate)).withColumn("__p", rate - F.col("__sure"))
     targets = _keyed(targets.withColumn("__missing", F.col("target") - F.col("__sure") * F.col("source_size")), "targets")
@@ -63,7 +67,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     def border(rows: DataFrame, cell: str) -> DataFrame:
         """The cell of each source in which its missing words run out, and what is missing at its start."""
-        cells = rows.groupBy("source", cell).agg(F.sum("size").alias("__s"), F.first("__missing").alias("__missing"))
+        cells = rows.groupBy("source", cell).agg(F.sum("__mass").alias("__s"), F.first("__missing").alias("__missing"))
         cells = cells.withColumn("__start", F.sum("__s").over(Window.partitionBy("source").orderBy(cell)) - F.col("__s"))
         cells = cells.where((F.col("__start") <= F.col("__missing")) & (F.col("__missing") < F.col("__start") + F.col("__s")))
         return _keyed(cells.select("source", F.col(cell).alias("__at"), (F.col("__missing") - F.col("__start")).alias("__missing")), cell)
@@ -72,18 +76,27 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     second = border(_by_source(ranked.drop("__missing"), first, "source").where("__c1 = __at").drop("__at"), "__c2")
     last = _by_source(ranked.drop("__missing"), second, "source").where("__c2 = __at")
     upto = Window.partitionBy("source").orderBy("__q", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("__run", F.sum("size").over(upto)).withColumn("__in", F.col("__run") <= F.col("__missing"))
+    last = last.withColumn("__run", F.sum("__mass").over(upto)).withColumn("__in", F.col("__run") <= F.col("__missing"))
     stop, run = F.max(F.when(F.col("__in"), F.struct("__q", "__id", "size"))), F.max(F.when(F.col("__in"), F.col("__run")))
     stops = last.groupBy("source").agg(F.first("__at").alias("__at"), stop.alias("__stop"), F.greatest(F.first("__missing") - F.coalesce(run, F.lit(0)), F.lit(0.0)).alias("__gap"))
-    marked = _inside(_by_source(ranked, _keyed(stops, "stops"), "source", "left"))
-    off = F.abs(F.col("size") - F.col("__gap"))
-    fits = marked.where(~F.col("__in") & (F.col("__p") > 0) & (F.col("size") > 0) & (off < F.col("__gap")))
-    closing = fits.groupBy("source").agg(F.min_by(F.struct("__q", "__id", "size"), F.struct(off, "__q", "__id")).alias("__close"))
-    rules = _by_source(_by_source(targets.withColumnRenamed("__src", "source"), _keyed(stops, "stops"), "source", "left"), _keyed(closing, "closing"), "source", "left")
+    stops = _keyed(stops, "stops")
+    rest = _inside(_by_source(ranked, stops, "source", "left")).where(~F.col("__in") & (F.col("__p") > 0) & (F.col("size") > 0))
+    rules = _by_source(targets.withColumnRenamed("__src", "source"), stops, "source", "left").drop("__gap")
+    for k in range(_CLOSING):
+        near = F.abs(F.col("__mass") - F.col("__gap"))
+        fits = rest.where(F.col("__mass") <= F.col("__gap") if k < _CLOSING - 1 else near < F.col("__gap"))
+        unit = F.struct("__q", "__id", "size")
+        found = fits.groupBy("source").agg(F.min_by(F.struct(unit.alias("unit"), "__mass"), F.struct(near, "__q", "__id", "size")).alias("__found"))
+        found = _keyed(found.select("source", F.col("__found.unit").alias(f"__close{k}"), F.col("__found.__mass").alias("__used")), f"closing{k}")
+        rules = _by_source(rules, found.drop("__used"), "source", "left")
+        rest = _by_source(rest, found, "source", "left").where(F.col("__used").isNull() | (unit != F.col(f"__close{k}")))
+        rest = rest.withColumn("__gap", F.col("__gap") - F.coalesce("__used", F.lit(0))).drop("__used", f"__close{k}")
     rules = _keyed(rules, "rules")
     out = _by_source(drawn.withColumn("__id", F.col(id_col)).withColumn("__source", F.col(source_col).cast("string")), rules, "__source", "left")
     out = _inside(_ranked(out))
-    more = F.col("__in") | F.coalesce(F.struct("__q", "__id", "size") == F.col("__close"), F.lit(False))
+    more = F.col("__in")
+    for k in range(_CLOSING):
+        more = more | F.coalesce(F.struct("__q", "__id", "size") == F.col(f"__close{k}"), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("__sure") + more.cast("long")).otherwise(F.lit(0)).cast("long")
     added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("size")}
     return out.select(*[f"`{c}`" for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
