@@ -25,19 +25,19 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     equal payloads of at least ``min_bytes`` bytes the smallest id is a response and the others are
     revisits that refer to it; smaller ones are all responses. Equality is by SHA-256 and byte length.
 
-    Only (id, digest, length) are shuffled to find the copies; html moves once, joined by id, for the pages
-    that are the first of their digest. A payload that a third of all pages share is found by partial
-    aggregates.
+    Payloads are shuffled once, by digest, after equal ones have been merged within each task; so one that a
+    third of all pages share is no hot spot. The headers are joined to (digest, smallest id) alone.
 
-    Defined results: repeated rows of one id are separate records with the same record id, the id's
-    payload is stored once for each digest; a null id sorts before others; null urls give an empty target;
+    Defined results: repeated rows of one id are separate records with the same record id; a null id is
+    larger than every other; null urls give an empty target;
     CR and LF in a url are percent-encoded, so a header can't be broken; an empty table gives two empty tables.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    # the constant keeps equal digests of different lengths apart, should there ever be any
-    keyed = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.sha2(payload, 256).alias("digest"), F.length(payload).cast("long").alias("n"))
-    first = keyed.groupBy("digest", "n").agg(F.min(F.struct(F.col("page_id"))).alias("first"))
-    first = first.select("digest", "n", F.col("first.page_id").alias("first"))
+    keyed = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.sha2(payload, 256).alias("digest"), F.length(payload).cast("long").alias("n"), payload.alias("payload"))
+    # copies within a task are merged before the shuffle, so a payload moves at most once a task
+    stored = keyed.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.first("payload").alias("payload"))
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    first = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "n", "first")
     copy = (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
@@ -55,11 +55,8 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         F.concat(F.lit("Content-Length: "), length.cast("string")),
     ]  # concat_ws leaves null lines out
     header = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http)
-    records = keyed.join(first, ["digest", "n"])
-    records.select("page_id", header.cast("binary").alias("header"), F.when(copy, F.col("first")).alias("refers_to_id")).write.parquet(f"{path}/headers")
-    firsts = first.select(F.col("first").alias("__first"), "digest")
-    stored = pages.select(F.col(id_col).alias("__id"), payload.alias("payload")).join(firsts, F.col("__id").eqNullSafe(F.col("__first")))
-    stored.where(F.sha2("payload", 256) == F.col("digest")).dropDuplicates(["__id", "digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    records = keyed.drop("payload").join(first, ["digest", "n"])
+    records.select("page_id", header.cast("binary").alias("header"), F.when(copy, F.col("first")).alias("refers_to_id")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +70,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     field = lambda name: F.regexp_extract(F.col("__text"), rf"(?m)^{name}: ([^\r\n]*)", 1)
     headers = spark.read.parquet(f"{path}/headers").withColumn("__text", text)
     headers = headers.select("page_id", "header", field("WARC-Type").alias("record_type"), F.substring(field("WARC-Payload-Digest"), 8, 64).alias("digest"), F.col("refers_to_id").alias("refers_to"))
-    payloads = spark.read.parquet(f"{path}/payloads").withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
+    payloads = spark.read.parquet(f"{path}/payloads").select("digest", "payload").withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     joined = headers.join(payloads.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest"), "left")
     sound = F.when(F.col("payload_digest") == F.col("digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.col("digest"))))
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
