@@ -137,8 +137,7 @@ def math_cumsum(df: DataFrame, ctx: Context, column: str, new_column: str | None
     df, name = with_offsets(df, bucket, F.sum(x), carry)
     total = F.coalesce(F.sum(x).over(rows(Window.partitionBy(name))), F.lit(0)) + F.coalesce(F.col(carry), F.lit(0))
     df = df.withColumn(f"{HIDDEN}out", F.when(x.isNotNull(), total))
-    target = new_column or column
-    return replace(df, target, F.col(f"{HIDDEN}out")).select(*[c(n) for n in [*[y for y in columns if not y.startswith(HIDDEN)], *([target] if target not in columns else [])]], *[y for y in columns if y.startswith(HIDDEN)])
+    return _reordered(replace(df, new_column or column, F.col(f"{HIDDEN}out")), columns, new_column or column)
 
 
 _RANKS = ("ordinal", "dense", "min", "max", "average", "random")
@@ -153,10 +152,15 @@ def _rank_params(p: dict[str, Any]) -> dict[str, Any]:
 @operator(exists("column"), all_exist("group_by", "Group-by columns"), scope=grouped, group="group_by", ordered=lambda p: p["method"] == "ordinal", prepare=_rank_params)
 def math_rank(df: DataFrame, ctx: Context, column: str, new_column: str, method: str = "ordinal", descending: bool = False, group_by: str | Sequence[str] | None = None) -> DataFrame:
     """Rank from 1: ordinal (ties in row order), dense, min, max, average, or random (ties at random); null for null."""
-    x, keys = c(column), [c(g) for g in as_list(group_by)]
+    x, keys, columns, carry = c(column), [c(g) for g in as_list(group_by)], df.columns, f"{HIDDEN}carry"
+    bucket = None if keys else ctx.ranges(df, column, descending, nulls_first=False)
+    if bucket is not None:
+        # ranks within ranges of values, after the rows (or values) of the ranges before
+        df, name = with_offsets(df, bucket, F.count_distinct(x) if method == "dense" else F.count(x), carry)
+        keys = [F.col(name)]
     by = x.desc_nulls_last() if descending else x.asc_nulls_last()
     w = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(w.partitionBy(*keys, x) if keys else Window.partitionBy(x))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
     least = F.rank().over(w.orderBy(by))
     if method == "dense":
         rank = F.dense_rank().over(w.orderBy(by))
@@ -168,8 +172,16 @@ def math_rank(df: DataFrame, ctx: Context, column: str, new_column: str, method:
         rank = least + (ties - 1) / 2.0
     else:
         # ties at random: by a hash of the row, which a recomputation repeats
-        rank = F.row_number().over(w.orderBy(by, *(ctx.order_by() if method == "ordinal" else [F.xxhash64(*[c(n) for n in df.columns])])))
-    return replace(df, new_column, F.when(x.isNotNull(), rank.cast("double" if method == "average" else "bigint")))
+        rank = F.row_number().over(w.orderBy(by, *(ctx.order_by() if method == "ordinal" else [F.xxhash64(*[c(n) for n in columns])])))
+    rank = rank if bucket is None else rank + F.coalesce(F.col(carry), F.lit(0))
+    out = replace(df, new_column, F.when(x.isNotNull(), rank.cast("double" if method == "average" else "bigint")))
+    return out if bucket is None else _reordered(out, columns, new_column)
+
+
+def _reordered(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """The columns that were there and the new one, without helpers."""
+    shown = [x for x in columns if not x.startswith(HIDDEN)]
+    return df.select(*[c(x) for x in [*shown, *([target] if target not in columns else [])]], *[x for x in columns if x.startswith(HIDDEN)])
 
 
 _AGGREGATES = {"first": None, "sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "count": F.count}

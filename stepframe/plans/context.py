@@ -93,10 +93,14 @@ class Context:
         if self.dry or not self.order:
             return None
         key = self.order[0]
-        x, t = F.col(key.name), df.schema[key.name].dataType
         if key.name.endswith("pos"):
-            return F.shiftright(x, _ID_BITS)
-        if not (is_numeric(t) or is_datetime(t)) or isinstance(t, (T.DayTimeIntervalType, T.DecimalType)):
+            return F.shiftright(F.col(key.name), _ID_BITS)
+        return self.ranges(df, key.name, key.descending, key.nulls_first)
+
+    def ranges(self, df: DataFrame, column: str, descending: bool, nulls_first: bool) -> Column | None:
+        """Ranges of a column's values between its quantiles; equal values share a range. None for other types."""
+        x, t = c(column), df.schema[column].dataType
+        if self.dry or not (is_numeric(t) or is_datetime(t)) or isinstance(t, (T.DayTimeIntervalType, T.DecimalType)):
             return None
         number = F.unix_micros(x.cast("timestamp")).cast("double") if is_datetime(t) else x.cast("double")
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -105,8 +109,8 @@ class Context:
         for b in bounds:
             rank = rank + (number > F.lit(b)).cast("int")
         rank = F.when(F.isnan(number), F.lit(len(bounds))).otherwise(rank)
-        first = -1 if key.nulls_first else len(bounds) + 1
-        return F.when(x.isNull(), F.lit(first)).otherwise(-rank + len(bounds) if key.descending else rank)
+        first = -1 if nulls_first else len(bounds) + 1
+        return F.when(x.isNull(), F.lit(first)).otherwise(-rank + len(bounds) if descending else rank)
 
 
 def with_offsets(df: DataFrame, bucket: Column, total: Column, carry: str, reverse: bool = False) -> tuple[DataFrame, str]:

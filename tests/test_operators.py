@@ -87,6 +87,14 @@ def test_rank(spark, method, expected):
     assert values(Plan().math_rank("v", "r", method).rows_sort("v").transform(d), "r") == [None, *expected]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("method", ["ordinal", "dense", "min", "max", "average", "random"])
+def test_rank_of_all_rows(spark, method, descending):
+    d = spark.range(0, 200, 1, 5).select("id", F.when(F.col("id") % 11 > 0, F.col("id") * 7 % 40).alias("v"), F.lit(1).alias("one"))
+    ungrouped, grouped = (values(Plan().math_rank("v", "r", method, descending=descending, group_by=g).rows_sort("id").transform(d, order_by="id"), "v", "r") for g in (None, "one"))
+    assert sorted(ungrouped, key=str) == sorted(grouped, key=str) if method == "random" else ungrouped == grouped
+
+
 def test_cumsum(spark):
     d = frame(spark, "g string, v bigint", ("A", 1), ("A", None), ("A", 3), ("B", 4), (None, 5))
     assert values(Plan().math_cumsum("v", "s", group_by="g").rows_sort(["g", "v"]).transform(d), "g", "s") == [(None, 5), ("A", None), ("A", 1), ("A", 4), ("B", 4)]
