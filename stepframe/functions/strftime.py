@@ -46,6 +46,13 @@ def _java(fmt: str, letters: dict[str, str]) -> str:
     return out
 
 
+def check_format(fmt: str) -> None:
+    """Raise on directives that format_column() doesn't know."""
+    for kind, value in _split(fmt):
+        if kind == "directive" and value not in _FORMAT and value not in ("G", "V", "u"):
+            raise ValueError(f"Unsupported format directive: %{value}")
+
+
 def to_java(fmt: str) -> str:
     return _java(fmt, _FORMAT)
 

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import c, format_column, to_java_parse
-from ..functions.strftime import format_column as _format
+from ..functions import c, check_format, format_column, to_java_parse
 from ..plans.context import Context, replace
 from ..registry import exists, operator, typed
 from ..types import is_datetime, is_string, is_timestamp
@@ -53,16 +52,10 @@ def dt_quarter(df: DataFrame, ctx: Context, column: str, new_column: str | None
 
 
 def _format_params(p: dict[str, Any]) -> dict[str, Any]:
-    _format(F.lit("2000-01-01").cast("date"), p["fmt"]) if _has_session() else None
+    check_format(p["fmt"])
     return p
 
 
-def _has_session() -> bool:
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession() is not None
-
-
 @operator(exists("column"), moment, prepare=_format_params)
 def dt_year_month(df: DataFrame, ctx: Context, column: str, new_column: str, fmt: str = "%Y-%m") -> DataFrame:
     """Formatted, by default as 2024-05."""
