@@ -36,7 +36,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back with its schema."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stepframe_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stepframe_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_arrow(df: DataFrame, fields: dict[str, pa.DataType], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:

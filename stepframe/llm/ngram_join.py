@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, mix64, texts, word_hashes
+from ._shared import discard, materialize, mix64, texts, word_hashes
 from .components import components
 from .signature_tree import linked_components
 
@@ -26,19 +26,24 @@ def shingles(text: str, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, low: float = 0.25, cell_tokens: int = 2_000_000) -> DataFrame:
+#: Largest size of each class of sets, and which share of its shingles (the lowest hashes) is counted.
+CLASSES = ((150, 1.0), (600, 0.4), (None, 0.2))
+
+
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, classes: tuple = CLASSES, cell_tokens: int = 2_000_000) -> DataFrame:
     """``<id>, n_shingles, component_id`` for every row: its set's size and the least id reachable by links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of n-word shingles.
     No link is lost, and no pairs are listed:
 
-    1. Equal sets become one class (by a 128-bit digest of the set and its size), with partial aggregates.
-    2. In an order of all shingles that is the same everywhere, linked sets of sizes a, b share one of the
-       first size - ceil(percent/100 size) + 1 (prefix filter). The order: hashes below ``low`` of their
-       range come first, by ascending document count and hash; the others by hash. So only the low ones
-       (and what a small set lacks) are counted and shuffled, and a set whose rare shingles fill its
-       prefix is out: nothing else has them.
-    3. A shingle in the prefix connects its set to the first set that has the shingle; the connected
+    1. Equal sets become one (by a 128-bit digest and the size), with partial aggregates.
+    2. In any one order of all shingles, linked sets of sizes a, b share one of the first size -
+       ceil(percent/100 size) + 1 (prefix filter). The order: hashes below a share of their range come first,
+       by ascending document count and hash; the others by hash. So only the low ones (and what a small
+       set lacks) are counted and shuffled, and a set whose rare shingles fill its prefix is out: nothing else
+       has them. The share falls with the size, in ``classes``; a set within percent of a bound is
+       in both classes, so every possible pair shares a class, and an order.
+    3. A shingle that several sets have in their prefix connects them to the first of them; the connected
        components of that are candidate groups. Every linked pair lies in one group.
     4. The texts of candidates are brought together by group, and each group is compared by a signature
        tree with union-find. A group of over ``cell_tokens`` shingles is dealt at random to cells, each
@@ -50,43 +55,55 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     has another id; ties need no order as links are symmetric; an empty table gives an empty table; other
     columns are not returned, so none can clash.
     """
-    limit = int(low * 2**63)  # hashes are shuffled as longs, without the sign bit for the order
+    limits = [min(int(share * 2**63), 2**63 - 1) & ~3 for _, share in classes]  # hashes are shuffled as longs without sign
+    bounds = [(0 if k == 0 else classes[k - 1][0] * percent // 100, top or 2**62) for k, (top, _) in enumerate(classes)]
 
     def sets(batches):
         for batch in batches:
-            size, digest, first = [], [], []
+            size, digest, first, lows = [], [], [], []
             for text in texts(batch, "__text"):
                 s = shingles(text, n)
                 size.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 s = np.sort((s >> np.uint64(1)).astype(np.int64))
-                prefix = len(s) - -(-percent * len(s) // 100) + 1
-                first.append(s[: max(prefix if len(s) else 0, int(np.searchsorted(s, limit)))])
+                prefix, counts, own = len(s) + (-percent * len(s) // 100) + 1, [0] * len(classes), []
+                for k, (low, high) in enumerate(bounds):
+                    if len(s) and low <= len(s) <= high:
+                        counts[k] = int(np.searchsorted(s, limits[k]))
+                        own.append((s[: max(prefix, counts[k])] & ~3) | k)  # the class in the last two bits
+                first.append(np.concatenate(own) if own else s)
+                lows.append(counts)
             d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             flat, ends = np.concatenate(first) if first else np.zeros(0, np.int64), np.cumsum([0, *map(len, first)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "n", "d1", "d2", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(lows, pa.list_(pa.int32()))], names=["id", "n", "d1", "d2", "first", "lows"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = source.mapInArrow(sets, f"id {id_type}, n long, d1 long, d2 long, first array<long>")
+    rows = source.mapInArrow(sets, f"id {id_type}, n long, d1 long, d2 long, first array<long>, lows array<int>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("row", "id")).alias("k"), F.first("first").alias("first"))
-    classes = materialize(classes.select("d1", "d2", "n", F.col("k.row").alias("row"), F.col("k.id").alias("id"), "first"), "classes")
+    kinds = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("row", "id")).alias("k"), F.first("first").alias("first"), F.first("lows").alias("lows"))
+    kinds = materialize(kinds.select("d1", "d2", "n", F.col("k.row").alias("row"), F.col("k.id").alias("id"), "first", "lows"), "kinds")
+    everything, rows = rows, materialize(rows.select("id", "row", "n", "d1", "d2"), "slim_rows")
+    discard(everything)
 
     # document counts of the shingles that could be in a prefix; those of one set bring nothing together
-    spread = classes.select("row", F.explode("first").alias("h"))
-    shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("row").alias("head")).where("df > 1")
-    held = spread.join(shared, "h").groupBy("row").agg(F.sort_array(F.collect_list(F.struct((F.col("h") >= limit).alias("high"), "df", "h", "head"))).alias("held"))
-    lows = F.size(F.filter("first", lambda h: h < limit))
+    spread = kinds.select("row", F.explode("first").alias("h"))
+    shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    k = F.col("h").bitwiseAND(F.lit(3)).cast("int")
+    high = F.col("h") >= F.element_at(F.array(*[F.lit(x) for x in limits]), k + 1)
+    held = spread.join(shared, "h").groupBy("row", k.alias("k")).agg(F.sort_array(F.collect_list(F.struct(high.alias("high"), "df", "h"))).alias("held"))
+    held = held.join(kinds.select("row", "n", "lows"), "row")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1  # exact for sizes below 2^45
-    rest = prefix - (lows - F.size(F.filter("held", lambda x: ~x["high"])))
-    reached = held.join(classes.select("row", "n", "first"), "row").select("row", F.slice("held", F.lit(1), F.greatest(rest, F.lit(0)).cast("int")).alias("held"))
-    edges = reached.select("row", F.explode(F.array_distinct(F.transform("held", lambda x: x["head"]))).alias("head"))
-    groups = components(edges.select(F.col("row").alias("a"), F.col("head").alias("b")))
+    rest = prefix - (F.element_at("lows", F.col("k") + 1) - F.size(F.filter("held", lambda x: ~x["high"])))
+    reached = held.select("row", F.explode(F.slice("held", F.lit(1), F.greatest(rest, F.lit(0)).cast("int"))["h"]).alias("h"))
+    heads = reached.groupBy("h").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    groups = components(reached.join(heads, "h").select(F.col("row").alias("a"), F.col("head").alias("b")))
 
-    members = groups.join(classes.select("row", "id", "n", "d1"), groups["node"] == classes["row"]).select("root", "row", "id", "n", "d1")
+    members = groups.join(kinds.select("row", "id", "n", "d1"), groups["node"] == kinds["row"]).select("root", "row", "id", "n", "d1")
     totals = members.groupBy("root").agg(F.ceil(F.sum("n") / cell_tokens).cast("int").alias("cells"))
     members = materialize(members.join(totals, "root"), "members")
+    everything, kinds = kinds, materialize(kinds.drop("first", "lows"), "slim_kinds")
+    discard(everything)
     bucket = F.pmod(F.xxhash64("row", F.lit(1)), F.col("cells")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("cells") - 1)
     placed = members.withColumn("cell", F.explode(F.when(F.col("row") == F.col("root"), everywhere).otherwise(F.array(bucket))))
@@ -97,7 +114,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         found = found.union(_across(source, large, found, n, percent, cell_tokens))
         found = components(found.select(F.col("row").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("row"), F.col("root").alias("label"))
 
-    of_class = classes.join(found.where("row <> label").dropDuplicates(["row"]), "row", "left").select("d1", "d2", "n", F.coalesce("label", "row").alias("label"))
+    of_class = kinds.join(found.where("row <> label").dropDuplicates(["row"]), "row", "left").select("d1", "d2", "n", F.coalesce("label", "row").alias("label"))
     labelled = rows.select("id", "row", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("label", "row").alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     return labelled.join(least, "label").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
@@ -108,7 +125,8 @@ def _compare(source: DataFrame, placed: DataFrame, n: int, percent: int) -> Data
 
     ``placed``: root, cell, row, id, d1, label; rows with equal labels count as connected already.
     """
-    texts_of = source.join(placed, source["__id"].eqNullSafe(placed["id"])).select("root", "cell", "row", "d1", "label", "__text")
+    # never by broadcast, whatever the size: the number of candidates grows with the corpus
+    texts_of = source.join(placed.hint("merge"), source["__id"].eqNullSafe(placed["id"])).select("root", "cell", "row", "d1", "label", "__text")
     partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts_of.repartition(partitions, "root", "cell").sortWithinPartitions("root", "cell", "row")
 

@@ -23,7 +23,7 @@ class SignatureTree:
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
         sizes = np.array([len(s) for s in sets], np.int64)
-        band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent)).astype(np.int64)
+        band = np.floor(np.log(np.maximum(sizes, 1)) / max(1e-6, np.log(100 / percent))).astype(np.int64)
         self.order = np.lexsort((sizes, [int(s[0]) if len(s) else 0 for s in sets], band))
         bits = 64
         while bits < min(8192, 2 * int(sizes.max(initial=1))):
