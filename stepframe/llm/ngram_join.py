@@ -26,8 +26,9 @@ def shingles(text: str, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-#: Largest size of each class of sets, and which share of its shingles (the lowest hashes) is counted.
-CLASSES = ((150, 1.0), (600, 0.4), (None, 0.2))
+#: Largest size of each class of sets, and how many of its shingles (those of lowest hashes) are counted, as a
+#: multiple of what the prefix filter looks at; more than all means all.
+CLASSES = ((150, 100.0), (600, 2.7), (None, 1.35))
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, classes: tuple = CLASSES, cell_tokens: int = 2_000_000) -> DataFrame:
@@ -41,7 +42,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
        ceil(percent/100 size) + 1 (prefix filter). The order: hashes below a share of their range come first,
        by ascending document count and hash; the others by hash. So only the low ones (and what a small
        set lacks) are counted and shuffled, and a set whose rare shingles fill its prefix is out: nothing else
-       has them. The share falls with the size, in ``classes``; a set within percent of a bound is
+       has them. Their share falls with the size, in ``classes``; a set within percent of a bound is
        in both classes, so every possible pair shares a class, and an order.
     3. A shingle that several sets have in their prefix connects them to the first of them; the connected
        components of that are candidate groups. Every linked pair lies in one group.
@@ -55,7 +56,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     has another id; ties need no order as links are symmetric; an empty table gives an empty table; other
     columns are not returned, so none can clash.
     """
-    limits = [min(int(share * 2**63), 2**63 - 1) & ~3 for _, share in classes]  # hashes are shuffled as longs without sign
+    limits = [min(int(times * (100 - percent) / 100 * 2**63), 2**63 - 1) & ~3 for _, times in classes]  # hashes are shuffled as longs without sign
     bounds = [(0 if k == 0 else classes[k - 1][0] * percent // 100, top or 2**62) for k, (top, _) in enumerate(classes)]
 
     def sets(batches):
