@@ -105,19 +105,28 @@ class Learner:
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         n = len(target)
-        x, hidden, logits = forward(self.model, around)
-        p = np.exp(logits)
+        x, hidden, p = forward(self.model, around)
+        np.exp(p, out=p)
         p[np.arange(n), target] -= 1
         p /= n
         up = (p @ self.model[3].T) * (1 - hidden**2)
-        g_e = np.zeros_like(self.model[0])
-        np.add.at(g_e, around.ravel(), (up @ self.model[1].T).reshape(-1, EMBED))
+        cells = around.reshape(-1, 1) * EMBED + np.arange(EMBED)
+        g_e = np.bincount(cells.ravel(), (up @ self.model[1].T).ravel(), VOCABULARY * EMBED).astype(np.float32).reshape(VOCABULARY, EMBED)
         self.t += 1
         self.seen += n
         for q, (m, v), g in zip(self.model, self.moments, (g_e, x.T @ up, up.sum(0), hidden.T @ p, p.sum(0))):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            q -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.999
+            g *= g
+            g *= 0.001
+            v += g
+            np.multiply(v, 1 / (1 - 0.999**self.t), out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= self.rate / (1 - 0.9**self.t)
+            q -= g
 
 
 def word_counts(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
@@ -139,11 +148,10 @@ def word_counts(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, counts: Counts, *, text_col: str = "text", stride: int = 8, batch: int = 512, seed: int = 11) -> list[np.ndarray]:
+def train(docs: DataFrame, counts: Counts, *, text_col: str = "text", batch: int = 512, seed: int = 11) -> list[np.ndarray]:
     """Every task learns from its share of the corpus, from one start; the mean of the models, by words seen, is the model.
 
-    Of every document each ``stride``-th word is a target (the first one by the hash of the word there), so
-    all documents take part and the work grows with the corpus. Means are taken by Spark, a number a row.
+    Every word of every document is a target once. Means are taken by Spark, a number a row.
     """
     start = initial(seed)
 
@@ -152,9 +160,8 @@ def train(docs: DataFrame, counts: Counts, *, text_col: str = "text", stride: in
         for record in batches:
             rows = texts(record, text_col)
             for a, b in chunks(rows):
-                h, bounds = tokens(rows[a:b])
-                at = np.concatenate([np.arange(s + int(h[s] >> np.uint64(33)) % stride if e > s else s, e, stride) for s, e in bounds.tolist()])
-                at = np.random.default_rng(len(at)).permutation(at)
+                h, _ = tokens(rows[a:b])
+                at = np.random.default_rng(len(h)).permutation(np.flatnonzero(h))
                 ids, classes = embedded(h), counts.classes[bucket(h)]
                 for k in range(0, len(at), batch):
                     learner.step(ids[at[k : k + batch, None] + _AROUND], classes[at[k : k + batch]])
@@ -198,7 +205,7 @@ def score(docs: DataFrame, model: list[np.ndarray], counts: Counts, *, text_col:
     return with_arrow(docs, {"n_tokens": pa.int64(), "log_prob": pa.float64(), "mean_log_prob": pa.float64()}, run)
 
 
-def lm_score(docs: DataFrame, *, text_col: str = "text", stride: int = 8) -> DataFrame:
+def lm_score(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Count, train and score on one and the same corpus; see word_counts(), train() and score()."""
     counts = Counts.of(word_counts(docs, text_col=text_col))
-    return score(docs, train(docs, counts, text_col=text_col, stride=stride), counts, text_col=text_col)
+    return score(docs, train(docs, counts, text_col=text_col), counts, text_col=text_col)

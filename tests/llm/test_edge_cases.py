@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_contracts import brute_components
@@ -331,3 +332,23 @@ def test_mixing_ties_and_limits(spark):
         assert r.copies <= 3
     assert {s: sum(r.taken for r in x) for s, x in by.items()} == {"big": pytest.approx(by["big"][0].target, abs=5), "low": 60, "none": 0, None: 3}
     assert by["none"][0].target == 0 and by["low"][0].target == 60
+
+
+def test_every_word_is_a_target(spark, monkeypatch):
+    rows = ["alone", "two words", words(100), words(100), None, " "]
+    seen, step = [], lm.Learner.step
+
+    class Task:  # a DataFrame that is one task, run here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, learn, _):  # noqa: N802
+            list(learn([pa.record_batch([pa.array(rows)], names=["text"])]))
+            return self
+
+        groupBy = agg = lambda self, *_: self  # noqa: E731, N815
+        toArrow = lambda self: []  # noqa: E731, N815
+
+    monkeypatch.setattr(lm.Learner, "step", lambda self, around, target: (seen.append(len(target)), step(self, around, target)))
+    lm.train(Task(), lm.Counts.of(np.zeros(lm.BUCKETS)))
+    assert sum(seen) == 1 + 2 + 100 + 100
