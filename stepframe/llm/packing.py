@@ -20,32 +20,18 @@ def bin_cost(length: int, overhead: int = 16) -> int:
     return length + overhead
 
 
-def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = 16, fill: float = 0.95) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Best-fit decreasing with bins of variable capacity: bin and offset of each piece, length of each bin.
-
-    A piece goes to the open bin that it leaves the least room in (ties: the oldest). If none has room, the
-    length that opens is the one of least cost after crediting the room beside the piece: of that room,
-    ``fill`` of what the pieces to come can still use is worth the cheapest rate a token. At the end each
-    bin shrinks to the shortest permitted length that holds its contents.
-    """
-    lengths = sorted(lengths)
-    rate = min(bin_cost(c, overhead) / c for c in lengths)
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+def _best_fit(sizes: Sequence[int], order: Sequence[int], lengths: Sequence[int], opens: Sequence[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Best-fit decreasing; a piece whose shortest fitting length is number k opens length number ``opens[k]``."""
     bins, offsets, used = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), []
     room: list[tuple[int, int]] = []  # (room, bin) in ascending order
-    capacity: list[int] = []
-    left = sum(sizes)
     for i in order:
         size = sizes[i]
-        left -= size
         at = bisect_left(room, (size, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((c for c in lengths if c >= size), key=lambda c: (bin_cost(c, overhead) - fill * rate * min(c - size, left), -c))
-            b = len(used)
+            free, b = lengths[opens[bisect_left(lengths, size)]], len(used)
             used.append(0)
-            capacity.append(free)
         bins[i], offsets[i] = b, used[b]
         used[b] += size
         if free > size:
@@ -53,6 +39,41 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int =
     return bins, offsets, [lengths[bisect_left(lengths, u)] for u in used]
 
 
+def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = 16) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Best-fit decreasing with bins of variable capacity: bin and offset of each piece, length of each bin.
+
+    A piece goes to the open bin that it leaves the least room in (ties: the oldest). If none has room, a
+    length opens that depends on the shortest one that would hold the piece. Which one is planned on the
+    pieces themselves: every single length (or the shortest that fits, where longer) is tried, and from the
+    cheapest on, the choice for each shortest length in turn is changed as long as the cost of all bins
+    falls. At the end of each trial every bin shrinks to the shortest permitted length that holds its contents.
+    """
+    lengths = sorted(lengths)
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    tried: dict[tuple[int, ...], int] = {}
+    best: tuple[int, tuple[int, ...], tuple[np.ndarray, np.ndarray, list[int]]] | None = None
+
+    def attempt(opens: tuple[int, ...]) -> None:
+        nonlocal best
+        if opens not in tried:
+            packed = _best_fit(sizes, order, lengths, opens)
+            tried[opens] = sum(bin_cost(c, overhead) for c in packed[2])
+            if best is None or tried[opens] < best[0]:
+                best = tried[opens], opens, packed
+
+    n = len(lengths)
+    for c in range(n):
+        attempt(tuple(max(k, c) for k in range(n)))
+    present = sorted({bisect_left(lengths, s) for s in sizes}, reverse=True)
+    before = None
+    while before != best[0]:
+        before = best[0]
+        for k in present:
+            for c in range(k, n):
+                attempt((*best[1][:k], c, *best[1][k + 1 :]))
+    return best[2]
+
+
 def best_fit_packing(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lengths: Sequence[int] = LENGTHS, overhead: int = 16, shard_tokens: int = 16_000_000) -> DataFrame:
     """Pack whole documents into training sequences; one row a piece.
 

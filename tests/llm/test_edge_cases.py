@@ -17,7 +17,7 @@ from stepframe.llm.components import components
 from stepframe.llm.line_dedup import line_dedup
 from stepframe.llm.mixing import mix
 from stepframe.llm.ngram_join import ngram_join
-from stepframe.llm.packing import best_fit_packing, pack
+from stepframe.llm.packing import LENGTHS, best_fit_packing, bin_cost, pack
 from stepframe.llm.quality_rules import host_rates, quality_rules
 from stepframe.llm.signature_tree import linked_components
 from stepframe.llm.warc import parse_records, read_archive, write_archive
@@ -352,3 +352,24 @@ def test_every_word_is_a_target(spark, monkeypatch):
     monkeypatch.setattr(lm.Learner, "step", lambda self, around, target: (seen.append(len(target)), step(self, around, target)))
     lm.train(Task(), lm.Counts.of(np.zeros(lm.BUCKETS)))
     assert sum(seen) == 1 + 2 + 100 + 100
+
+
+@pytest.mark.parametrize("low, high", [(1, 800), (1100, 1300), (300, 2500), (2100, 4096)])
+def test_lengths_are_planned(low, high):
+    r = random.Random(low)
+    sizes = [r.randint(low, high) for _ in range(600)]
+
+    def single(length):  # best-fit decreasing that opens one length, or the shortest that fits
+        bins = []
+        for size in sorted(sizes, reverse=True):
+            fits = [b for b in bins if b[0] - b[1] >= size]
+            if not fits:
+                bins.append(fits := [max(length, min(c for c in LENGTHS if c >= size)), 0])
+                fits = [fits]
+            min(fits, key=lambda b: b[0] - b[1])[1] += size
+        return sum(bin_cost(min(c for c in LENGTHS if c >= u)) for _, u in bins)
+
+    bins, _, lengths = pack(sizes)
+    assert sum(map(bin_cost, lengths)) <= min(map(single, LENGTHS))
+    if high == 800:
+        assert max(lengths) == 4096  # though no piece needs over 1024
