@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import texts, with_arrow
@@ -122,23 +122,34 @@ class ByteCNN:
         return np.concatenate(out) if out else np.zeros((0, len(self.langs)), np.float32)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, windows_per_doc: int = 3, window: int = 256, seed: int = 7) -> ByteCNN | None:
-    """Fit on windows of at most ``max_docs`` labelled documents, chosen by a hash of the id; None without any."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = 2500, windows_per_doc: int = 3, window: int = 256, seed: int = 7) -> ByteCNN | None:
+    """Fit on windows of at most ``max_per_lang`` labelled documents of each language; None without any.
+
+    They are those of least hash of the id, found in parts of each language first, so every language that
+    a document with a text is labelled with is in the model. Rows that share id and language count as one,
+    that of least text.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = labelled.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(max_docs).distinct()
-    sample = labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")  # at most max_docs ids
+    chosen = labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct()
+    chosen = chosen.withColumn("__hash", F.xxhash64("__id", F.lit(seed))).withColumn("__part", F.pmod(F.xxhash64("__hash"), F.lit(64)))
+    for keys in (["__lang", "__part"], ["__lang"]):
+        by_hash = Window.partitionBy(*keys).orderBy("__hash", "__id")
+        chosen = chosen.withColumn("__k", F.row_number().over(by_hash)).where(F.col("__k") <= max_per_lang)
+    chosen = chosen.select("__id", "__lang")
+    same = F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__lang") == F.col(lang_col))
+    sample = labelled.join(F.broadcast(chosen), same).groupBy("__lang", "__id").agg(F.min(text_col).alias("text"))  # at most max_per_lang rows a language
 
     def cut(batches):
         for batch in batches:
             langs, found = [], []
-            for lang, text in zip(batch.column(1).to_pylist(), texts(batch, "text")):
+            for lang, text in zip(batch.column(0).to_pylist(), texts(batch, "text")):
                 rows = to_windows(text, window)
                 for i in np.unique(np.linspace(0, len(rows) - 1, windows_per_doc).astype(int)):
                     langs.append(lang)
                     found.append(rows[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
 
-    rows = sorted((r.lang, bytes(r.window)) for r in sample.mapInArrow(cut, "lang string, window binary").collect())  # max_docs * windows_per_doc windows
+    rows = sorted((r.lang, bytes(r.window)) for r in sample.mapInArrow(cut, "lang string, window binary").collect())  # max_per_lang * windows_per_doc windows a language
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})

@@ -373,3 +373,9 @@ def test_lengths_are_planned(low, high):
     assert sum(map(bin_cost, lengths)) <= min(map(single, LENGTHS))
     if high == 800:
         assert max(lengths) == 4096  # though no piece needs over 1024
+
+
+def test_rare_languages_are_learned(spark):
+    ids = [r.id for r in spark.range(4100).orderBy(F.xxhash64("id", F.lit(7))).collect()]
+    rows = [(i, words(5, i), "en" if k < 4098 else "is", "a") for k, i in enumerate(ids)] + [(9000, None, "no", "a"), (None, "without an id", "xx", "a")]
+    assert lid.train(table(spark, *rows).repartition(4)).langs == ["en", "is", "xx"]
