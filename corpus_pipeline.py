@@ -22,9 +22,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that have no language: null texts and texts without a letter."""
-    out = lid.identify(docs, lid.train(docs))
-    return out.where(F.col("lang_pred") != lid.UNDETERMINED).select(*COLUMNS)
+    """Drop the documents that have no language: null texts and texts without a letter, model or not."""
+    model = lid.train(docs)
+    if model is None:  # nothing is labelled, so all texts would be undetermined
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return lid.identify(docs, model).where(F.col("lang_pred") != lid.UNDETERMINED).select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

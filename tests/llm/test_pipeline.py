@@ -94,3 +94,9 @@ def test_odd_documents(spark, small):
     for name, stage in cp.STAGES:
         docs = materialize(stage(spark, docs, small), name)
     assert {r.doc_id for r in docs.collect()} <= {None, 2}
+
+
+def test_texts_stay_where_nothing_is_labelled(spark):
+    rows = [(1, "words here", None, "a", 10), (2, "123 !", None, "a", 5), (3, None, None, "a", 0), (4, "\n\u6f22", None, "a", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(by_id(cp.identify_language(spark, docs, ""))) == {1, 4}
