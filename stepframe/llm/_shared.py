@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests)."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder of this application below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder is made, but only under a local master: executors elsewhere would
+    write to disks that nobody else reads. The session's settings are not changed.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="stepframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stepframe/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + _local()
+    return f"{base.rstrip('/')}/stepframe/{spark.sparkContext.applicationId}"
+
+
+@cache
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="stepframe-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; lazy results that read them can't be computed after it."""
+    _delete(spark, shared_base(spark))
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +69,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stepframe_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._stepframe_path)
+
+
+#: Keys that hold over this part of all rows are hot; so there are at most as many of them.
+HOT = 1024
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, *, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``keyed`` (one row a key; ``count``: how many of ``rows``, ``total`` in all, have it).
+
+    Hot keys, of which there are at most HOT whatever the data, are broadcast; the rows of all others are
+    shuffled, and none of their keys has over 1/HOT of the rows. Null keys match nothing.
+    """
+    hot = keyed.where(F.col(count) * HOT > total)
+    many = rows.join(F.broadcast(hot.drop(count)), keys)
+    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(count) * HOT <= total).drop(count), keys, how)
+    return many.unionByName(few)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """The user's row as the one column ``row``, so that no column of it can clash, and what else is asked for."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[(F.col(quoted(v)) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
+
+
+def unpacked(df: DataFrame, docs: DataFrame, new: dict) -> DataFrame:
+    """The columns of ``docs`` out of ``row`` and the new ones, which replace those of the same name, last."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def with_arrow(df: DataFrame, fields: dict[str, pa.DataType], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:
@@ -60,16 +115,20 @@ def with_arrow(df: DataFrame, fields: dict[str, pa.DataType], fn: Callable[[pa.R
     return df.mapInArrow(run, schema)
 
 
+def from_texts(docs: DataFrame, text_col: str, fields: dict[str, pa.DataType], fn: Callable[[list[str]], dict[str, pa.Array]]) -> DataFrame:
+    """Append what ``fn`` computes from the texts (null as empty) of each batch; same-named columns of ``docs`` are replaced."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return fn([x or "" for x in batch.column(0).field(text_col).to_pylist()])
+
+    return unpacked(with_arrow(packed(docs), fields, run), docs, {c: F.col(c) for c in fields})
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's strings, null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def replace_columns(df: DataFrame, new: dict) -> DataFrame:
-    """Add columns, replacing same-named ones and putting the new ones last."""
-    return df.select(*[f"`{c}`" for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (splitmix64)."""
     x = x.astype(np.uint64, copy=True)
