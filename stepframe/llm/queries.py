@@ -87,4 +87,5 @@ ORACLE = {
     "op2_line_dedup": sql.LINE_DEDUP,
     "op3_warc": sql.WARC,
     "op6_quality_rules": sql.QUALITY_RULES,
+    "op9_ngram_jaccard": sql.NGRAM_JACCARD,
 }

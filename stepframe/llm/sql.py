@@ -43,7 +43,22 @@ hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f
 sums AS (SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k, sum(f * f / n) AS s2 FROM hosts),
 var AS (SELECT m, s2 / n - m * m - m * (1 - m) * k / n AS v FROM sums),
 prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS ab FROM var),
-rates AS (SELECT source, (f + m * ab) / (n + ab) AS rate FROM hosts, prior)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+rates AS (SELECT source, (f + m * ab) / (n + ab) AS rate, least(0.5, greatest(3 * m, m + 2 * sqrt(m * (1 - m) / (ab + 1)))) AS top FROM hosts, prior)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= top AS kept
 FROM base b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source
 """
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORD}) AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 2, 2)), lambda i: array_to_string(words[i:i + 3], ' '))) AS grams FROM w WHERE len(words) > 0),
+sizes AS (SELECT doc_id, len(grams)::BIGINT AS n, list_aggregate(list_sort(grams), 'string_agg', chr(10)) AS whole FROM s),
+kinds AS (SELECT min(doc_id) AS kind, any_value(n) AS n, whole FROM sizes GROUP BY whole),
+g AS (SELECT doc_id AS kind, unnest(grams) AS gram FROM s SEMI JOIN kinds ON doc_id = kind),
+common AS (SELECT a.kind AS a, b.kind AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.kind < b.kind GROUP BY a.kind, b.kind),
+link AS (SELECT a, b FROM common JOIN kinds x ON a = x.kind JOIN kinds y ON b = y.kind WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(kind, root) AS (SELECT kind, kind FROM kinds UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.kind WHERE r.root < l.b),
+named AS (SELECT kind, min(root) AS root FROM reach GROUP BY kind)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes z ON d.doc_id = z.doc_id LEFT JOIN kinds k ON z.whole = k.whole LEFT JOIN named m ON k.kind = m.kind
+"""
