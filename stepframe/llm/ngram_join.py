@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialize, mix64, texts, word_hashes
+from ._shared import discard, keyed_join, materialize, mix64, quoted, texts, word_hashes
 from .components import components
 from .signature_tree import linked_components
 
@@ -51,6 +51,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
        with the group's first set; what does not fall into the group's largest component then meets all
        its cells in blocks. A task thus holds about ``cell_tokens`` shingles at a time, however large a group.
 
+    Rows meet the component of their set, and sets the name of theirs, by keyed_join(): copies or components
+    of over 1/1024 of all rows are broadcast, so no task gets a third of them.
+
     Defined results: null texts and texts without words have size 0 and link with nothing, their component
     is their own id; rows of one id are compared each for itself; a null id never names a component that
     has another id; ties need no order as links are symmetric; an empty table gives an empty table; other
@@ -76,15 +79,15 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 lows.append(counts)
             d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             flat, ends = np.concatenate(first) if first else np.zeros(0, np.int64), np.cumsum([0, *map(len, first)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(lows, pa.list_(pa.int32()))], names=["id", "n", "d1", "d2", "first", "lows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(lows, pa.list_(pa.int32()))], names=["id", "t", "n", "d1", "d2", "first", "lows"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = source.mapInArrow(sets, f"id {id_type}, n long, d1 long, d2 long, first array<long>, lows array<int>")
+    source = docs.select(F.col(quoted(id_col)).alias("__id"), F.xxhash64(F.col(quoted(text_col))).alias("__t"), F.col(quoted(text_col)).alias("__text"))
+    rows = source.mapInArrow(sets, f"id {id_type}, t long, n long, d1 long, d2 long, first array<long>, lows array<int>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    kinds = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("row", "id")).alias("k"), F.first("first").alias("first"), F.first("lows").alias("lows"))
-    kinds = materialize(kinds.select("d1", "d2", "n", F.col("k.row").alias("row"), F.col("k.id").alias("id"), "first", "lows"), "kinds")
-    everything, rows = rows, materialize(rows.select("id", "row", "n", "d1", "d2"), "slim_rows")
+    kinds = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("row", "id", "t")).alias("k"), F.first("first").alias("first"), F.first("lows").alias("lows"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    kinds = materialize(kinds.select("d1", "d2", "n", F.col("k.row").alias("row"), F.col("k.id").alias("id"), F.col("k.t").alias("t"), "first", "lows", "least", "copies"), "kinds")
+    everything, rows = rows, materialize(rows.select("id", "n", "d1", "d2"), "slim_rows")
     discard(everything)
 
     # document counts of the shingles that could be in a prefix; those of one set bring nothing together
@@ -100,7 +103,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     heads = reached.groupBy("h").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     groups = components(reached.join(heads, "h").select(F.col("row").alias("a"), F.col("head").alias("b")))
 
-    members = groups.join(kinds.select("row", "id", "n", "d1"), groups["node"] == kinds["row"]).select("root", "row", "id", "n", "d1")
+    members = groups.join(kinds.select("row", "id", "t", "n", "d1"), groups["node"] == kinds["row"]).select("root", "row", "id", "t", "n", "d1")
     totals = members.groupBy("root").agg(F.ceil(F.sum("n") / cell_tokens).cast("int").alias("cells"))
     members = materialize(members.join(totals, "root"), "members")
     everything, kinds = kinds, materialize(kinds.drop("first", "lows"), "slim_kinds")
@@ -108,26 +111,31 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bucket = F.pmod(F.xxhash64("row", F.lit(1)), F.col("cells")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("cells") - 1)
     placed = members.withColumn("cell", F.explode(F.when(F.col("row") == F.col("root"), everywhere).otherwise(F.array(bucket))))
-    found = _compare(source, placed.select("root", "cell", "row", "id", "d1", F.col("row").alias("label")), n, percent)
+    found = _compare(source, placed.select("root", "cell", "row", "id", "t", "d1", F.col("row").alias("label")), n, percent)
     found = materialize(found, "links")
     large = members.where("cells > 1")
     if not large.isEmpty():
         found = found.union(_across(source, large, found, n, percent, cell_tokens))
         found = components(found.select(F.col("row").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("row"), F.col("root").alias("label"))
 
-    of_class = kinds.join(found.where("row <> label").dropDuplicates(["row"]), "row", "left").select("d1", "d2", "n", F.coalesce("label", "row").alias("label"))
-    labelled = rows.select("id", "row", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("label", "row").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    return labelled.join(least, "label").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    kinds = kinds.join(found.where("row <> label").dropDuplicates(["row"]).withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
+    kinds = materialize(kinds.select("d1", "d2", "n", "least", "copies", F.coalesce("label", "row").alias("label")), "labels")
+    least = materialize(kinds.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
+    named = keyed_join(kinds.drop("least"), least, ["label"], "members", kinds.count()).drop("label")
+    named = materialize(named, "named")
+    out = keyed_join(rows.where("n > 0"), named, ["d1", "d2", "n"], "copies", rows.count())
+    out = out.select("id", "n", "component_id").union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _compare(source: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
     """Compare the sets of each (root, cell): ``row, label`` with the label of its component in the cell.
 
-    ``placed``: root, cell, row, id, d1, label; rows with equal labels count as connected already.
+    ``placed``: root, cell, row, id, t, d1, label; rows with equal labels count as connected already. Texts are
+    found by id and hash of the text, so that rows of one id (all that have none) don't meet each other's.
     """
     # never by broadcast, whatever the size: the number of candidates grows with the corpus
-    texts_of = source.join(placed.hint("merge"), source["__id"].eqNullSafe(placed["id"])).select("root", "cell", "row", "d1", "label", "__text")
+    texts_of = source.join(placed.hint("merge"), source["__id"].eqNullSafe(placed["id"]) & (source["__t"] == placed["t"])).select("root", "cell", "row", "d1", "label", "__text")
     partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts_of.repartition(partitions, "root", "cell").sortWithinPartitions("root", "cell", "row")
 
@@ -169,5 +177,5 @@ def _across(source: DataFrame, large: DataFrame, found: DataFrame, n: int, perce
     meets_blocks = now.select("*", F.explode(upto("blocks")).alias("__block"), bucket.alias("__bucket"))
     meets_buckets = now.where("label <> main").select("*", block.alias("__block"), F.explode(upto("cells")).alias("__bucket"))
     placed = meets_blocks.union(meets_buckets).withColumn("cell", (F.col("__block") * F.col("cells") + F.col("__bucket")).cast("int"))
-    placed = placed.select("root", "cell", "row", "id", "d1", "label").distinct()
+    placed = placed.select("root", "cell", "row", "id", "t", "d1", "label").distinct()
     return materialize(_compare(source, placed, n, percent), "across_links").union(now.select("row", "label"))
