@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, texts, with_arrow
+from ._shared import from_texts, mix64
 
 SIZE = 128
 
@@ -89,18 +89,24 @@ def parse_with_edit(text: str, cut: int, tail: str) -> tuple[dict[int, int], dic
 
 
 def lz_fingerprints(docs: DataFrame, *, text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """Add ``fingerprint`` (hex of the signature) of each whole text; null texts count as empty."""
-    return with_arrow(docs, {"fingerprint": pa.string()}, lambda batch: {"fingerprint": pa.array([to_hex(x) for x in fingerprints(texts(batch, text_col), size)], pa.string())})
+    """Add ``fingerprint`` (hex of the signature) of each whole text.
+
+    Defined results: null texts count as empty, and an empty text has an empty fingerprint; equal texts have
+    equal fingerprints, so repeated rows come back each with the same; an empty table gives an empty table;
+    a column named ``fingerprint`` is replaced, all others pass through.
+    """
+    return from_texts(docs, text_col, {"fingerprint": pa.string()}, lambda rows: {"fingerprint": pa.array([to_hex(x) for x in fingerprints(rows, size)], pa.string())})
 
 
-def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, buckets: int | None = None) -> DataFrame:
+def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, buckets: int | None = None, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Fingerprint every document and the edit of it whose last quarter is taken from the next document.
 
     Returns ``<id>, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next``; ids are
     integers. The next document is that of the next id, the first one after the last. The texts are
-    shuffled once, to buckets of id ranges between quantiles of the ids; the first document of each bucket
-    is also sent, as a guest, to the bucket before it, where it only serves as the next one. Rows are read
-    in order one at a time, so no task holds a bucket; the driver gets one number a bucket.
+    shuffled once, to buckets of id ranges between quantiles of the ids, about ``bucket_bytes`` of text and one
+    task each; the first document of each bucket is also sent, as a guest, to the bucket before it, where it
+    only serves as the next one. Rows are read in order one at a time, so no task holds a bucket; the driver
+    gets one number a bucket.
 
     Defined results: null texts count as empty; two empty texts have likeness 1, an empty and another one
     0; rows of one id follow each other in the order of a hash of their text; a null id comes first; a
@@ -108,7 +114,8 @@ def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = 0 if buckets else d.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     bounds = np.array(sorted({int(b) for b in d.select("__id").na.drop().approxQuantile("__id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else [], np.int64)
     lowest = np.iinfo(np.int64).min  # stands for null; nothing sorts before either
 
@@ -128,8 +135,8 @@ def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         own = np.searchsorted(bounds, ids).tolist()
         return pd.Series([[2 * b, 2 * guest_of[b] + 1] if first_id[b] == i else [2 * b] for i, b in zip(ids.tolist(), own)])
 
-    dealt = d.withColumn("__place", F.explode(places("__id"))).withColumn("__b", F.floor(F.col("__place") / 2)).withColumn("__h", F.xxhash64("__text"))
-    dealt = dealt.repartition(n, "__b").sortWithinPartitions("__place", F.col("__id").asc_nulls_first(), "__h", "__text").select("__place", "__id", "__text")
+    dealt = d.withColumn("__place", F.explode(places("__id"))).withColumn("__b", F.shiftright("__place", 1).cast("int")).withColumn("__h", F.xxhash64("__text"))
+    dealt = dealt.repartitionById(n, F.col("__b")).sortWithinPartitions("__place", F.col("__id").asc_nulls_first(), "__h", "__text").select("__place", "__id", "__text")
     fields = {"__id": pa.int64(), "n_chars": pa.int64(), "edited": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
     def follow(batches):
