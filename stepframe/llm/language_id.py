@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import texts, with_arrow
+from ._shared import from_texts, quoted, texts
 
 WIDTHS = (2, 3, 4)
 UNDETERMINED = "und"
@@ -129,15 +129,15 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     a document with a text is labelled with is in the model. Rows that share id and language count as one,
     that of least text.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct()
-    chosen = chosen.withColumn("__hash", F.xxhash64("__id", F.lit(seed))).withColumn("__part", F.pmod(F.xxhash64("__hash"), F.lit(64)))
-    for keys in (["__lang", "__part"], ["__lang"]):
-        by_hash = Window.partitionBy(*keys).orderBy("__hash", "__id")
-        chosen = chosen.withColumn("__k", F.row_number().over(by_hash)).where(F.col("__k") <= max_per_lang)
-    chosen = chosen.select("__id", "__lang")
-    same = F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__lang") == F.col(lang_col))
-    sample = labelled.join(F.broadcast(chosen), same).groupBy("__lang", "__id").agg(F.min(text_col).alias("text"))  # at most max_per_lang rows a language
+    labelled = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    chosen = labelled.select(F.col("id").alias("k"), F.col("lang").alias("l")).distinct()
+    chosen = chosen.withColumn("hash", F.xxhash64("k", F.lit(seed))).withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(64)))
+    for keys in (["l", "part"], ["l"]):
+        by_hash = Window.partitionBy(*keys).orderBy("hash", "k")
+        chosen = chosen.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= max_per_lang)
+    chosen = chosen.select("k", "l")
+    same = F.col("k").eqNullSafe(F.col("id")) & (F.col("l") == F.col("lang"))
+    sample = labelled.join(F.broadcast(chosen), same).groupBy("lang", "id").agg(F.min("text").alias("text"))  # at most max_per_lang rows a language
 
     def cut(batches):
         for batch in batches:
@@ -172,11 +172,10 @@ def identify(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text",
     sorts first; repeated rows come back each; same-named columns are replaced.
     """
 
-    def predict(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        langs: list[str] = [UNDETERMINED] * len(batch)
-        scores = np.zeros(len(batch))
+    def predict(rows: list[str]) -> dict[str, pa.Array]:
+        langs: list[str] = [UNDETERMINED] * len(rows)
+        scores = np.zeros(len(rows))
         tables = model.tables() if model else None
-        rows = texts(batch, text_col)
         for i, text in enumerate(rows):
             if model is None or not any(map(str.isalpha, text)):
                 continue
@@ -189,7 +188,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, *, text_col: str = "text",
             langs[i], scores[i] = model.langs[best], p[best] / p.sum()
         return {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)}
 
-    return with_arrow(docs, {"lang_pred": pa.string(), "score": pa.float64()}, predict)
+    return from_texts(docs, text_col, {"lang_pred": pa.string(), "score": pa.float64()}, predict)
 
 
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_on=None, **bounds) -> DataFrame:

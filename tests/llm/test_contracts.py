@@ -1,8 +1,10 @@
 """The queries against SQL, brute force or held-out labels, over whole small tables."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from compare import same
@@ -139,11 +141,16 @@ def test_lm_scores_follow_the_corpus(spark, small, docs):
     for i, d in docs.items():
         assert rows[i].n_tokens == len(WORD.findall(d.text or "")) and rows[i].log_prob <= 0
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    clean = [i for i, q in label.items() if q == 1 and rows[i].n_tokens]
     symbols = [i for i, d in docs.items() if d.text.count("###") > 5]
-    clean = [i for i, q in label.items() if q == 1]
-    mean = lambda ids: sum(rows[i].mean_log_prob for i in ids) / len(ids)
-    if symbols:
-        assert mean(symbols) < mean(clean)
+    assert clean and symbols
+    mean = lambda ids: sum(rows[i].log_prob for i in ids) / sum(rows[i].n_tokens for i in ids)
+    share = Counter(w for d in docs.values() for w in WORD.findall(lower(d.text or "")))
+    n = sum(share.values())
+    unigram = sum(k * math.log(k / n) for k in share.values()) / n
+    assert mean(rows) > unigram and mean(symbols) < mean(clean)
+    again = {r.doc_id: r.log_prob for r in QUERIES["op4_lm_scoring"](spark, small).collect()}
+    assert again == {i: r.log_prob for i, r in rows.items()}
 
 
 def test_registered(spark):

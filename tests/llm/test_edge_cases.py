@@ -84,6 +84,44 @@ def test_other_columns_pass_through(odd, name):
     assert {"doc_id", "source", "__extra"} <= set(out.columns) and out.where("__extra = 'e'").count() == 11
 
 
+HELPERS = "id row text of drops h1 h2 n keeper u q p sure band mass size_ source_ at gap0 after0 last src b s words lines h repeats pairs host of_host limit rate t d1 d2 first label __id __text __drops __p __src __h __n __x lang_pred_ shard piece_ edited_".split()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_no_name_of_a_column_clashes(odd, name):
+    clash = [c for c in HELPERS if c not in odd.columns]
+    wide = odd.select("*", *[F.lit(f"{c}!").alias(c) for c in clash], F.lit("dotted").alias("a.b"))
+    out = OPERATORS[name](wide)
+    rows = out.collect()
+    plain = OPERATORS[name](odd)
+    assert len(rows) == plain.count()
+    if name not in ("packing", "fingerprints", "join"):
+        assert set(clash) | {"a.b"} <= set(out.columns) and all(r[c] == f"{c}!" for r in rows for c in clash)
+        assert sorted(map(str, out.drop(*clash).select(*[f"`{c}`" for c in plain.columns]).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_hot_lines_and_payloads(spark, tmp_path):
+    """One line, payload and set in half of all rows; keys above and below the bound of what is broadcast."""
+    line = "this very line is in every second document"
+    d = table(spark, *[(i, f"{words(8, i)}\n{line}" if i % 2 else words(8, i), "", f"s{i % 3}") for i in range(3000)]).repartition(4)
+    got = {r.doc_id: r.n_dropped for r in line_dedup(d).collect()}
+    assert got == {i: int(i % 2 and i != 2999) for i in range(3000)}
+    same = table(spark, *[(i, words(9, 0 if i % 2 else i), "", "") for i in range(2600)]).repartition(4)
+    assert {r.doc_id: r.component_id for r in ngram_join(same).collect()} == {i: (1 if i % 2 else 0 if i == 0 else i) for i in range(2600)} | {0: 0, 1: 0} | {i: 0 for i in range(1, 2600, 2)}
+    pages = same.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("text"), F.lit("x" * 100)).alias("html"))
+    write_archive(pages, f"file://{tmp_path}/hot")
+    out = read_archive(spark, f"file://{tmp_path}/hot").collect()
+    assert {r.page_id: r.refers_to for r in out} == {i: 0 if i % 2 else None for i in range(2600)}
+    assert all((r.record_type == "revisit") == (r.refers_to is not None) for r in out)
+
+
+def test_archive_of_text_ids(spark, tmp_path):
+    rows = [("a>b:\r\n", "x" * 200), ("", "x" * 200), (None, "x" * 200), ("null", "y")]
+    write_archive(spark.createDataFrame(rows, "page_id string, html string").withColumn("url", F.lit("u")), f"file://{tmp_path}/t")
+    out = read_archive(spark, f"file://{tmp_path}/t", id_type="string").collect()
+    assert {(r.page_id, r.refers_to) for r in out} == {("a>b:\r\n", ""), ("", None), (None, ""), ("null", None)}
+
+
 def test_line_dedup_by_hand(spark):
     line = "A Line Of 20 Chars.."
     d = table(spark, (1, f"x\n {line.lower()}\t\n{line}", "", ""), (2, line, "", ""), (3, f"{line}\n{line}\nend", "", ""), (4, "x\nx", "", ""), (5, "x", "", ""), (6, "x", "", ""), (7, line[1:], "", ""), (8, line[1:], "", ""), (9, line[1:], "", ""))
@@ -155,6 +193,15 @@ def test_hosts_are_shrunk_and_rejected(spark):
     assert not any(kept[i] for i in range(100)) and all(kept[i] for i in range(100, 200))
 
 
+def test_a_host_falls_by_the_prior(spark):
+    """One host of ten fails at 30 %, which is under max_host_rate; another that few documents have is left alone."""
+    rows = [(h * 1000 + i, words(30, h * 1000 + i) if i >= (60 if h == 9 else 8) else "short", "", f"h{h}") for h in range(10) for i in range(200)]
+    rows += [(20_000, "short", "", "tiny"), (20_001, words(30, 1), "", "tiny")]
+    got = {r.doc_id: (r.base_failed, r.kept, r.source) for r in quality_rules(table(spark, *rows)).collect()}
+    assert not any(k for f, k, s in got.values() if s == "h9") and any(not f for f, k, s in got.values() if s == "h9")
+    assert all(k == (not f) for f, k, s in got.values() if s != "h9")
+
+
 def test_undetermined_and_unlearned(odd, spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in lid.language_id(odd.where("doc_id IN (1, 2, 3, 8, 7)")).collect()}
     assert got[1] == got[2] == got[3] == got[8] == ("und", 0.0) and got[7][0] != "und"
@@ -334,6 +381,92 @@ def test_mixing_ties_and_limits(spark):
     assert by["none"][0].target == 0 and by["low"][0].target == 60
 
 
+def test_inclusion_follows_size(spark):
+    """45 sources of the same 400 sizes: how often a size is taken comes near what is expected, longer ones more often."""
+    sizes = [5, 8, 12, 20, 30, 50, 80, 120] * 50
+    rows = [(s * 1000 + i, "w " * n, "", f"s{s:03d}") for s in range(45) for i, n in enumerate(sizes)]
+    taken = mix(table(spark, *rows)).groupBy("source", "size").agg(F.sum("copies").alias("k"), F.first("target").alias("t")).collect()
+    band = lambda n: int(np.floor(np.log2(n) * 4))
+    for target in sorted({r.t for r in taken}):
+        level, cap = 0.0, 3.0
+        low, high = 0.0, 10.0
+        for _ in range(60):  # the level at which the expected words are the target
+            level = (low + high) / 2
+            words_of = sum(n * min(cap, level * 2 ** (0.25 * band(n) / 4)) for n in sizes)
+            low, high = (level, high) if words_of < target else (low, level)
+        own = [r for r in taken if r.t == target]
+        seen = {n: sum(r.k for r in own if r.size == n) / (50 * len({r.source for r in own})) for n in set(sizes)}
+        for n in set(sizes):
+            assert seen[n] == pytest.approx(min(cap, level * 2 ** (0.25 * band(n) / 4)), abs=0.06)
+        assert seen[120] > seen[20] > seen[5]
+
+
+def test_nothing_is_drawn_where_all_is_certain(spark):
+    d = table(spark, *[(i, "w " * 10, "", "a") for i in range(50)], *[(100 + i, "w " * 400, "", "b") for i in range(50)])
+    rates = {}
+
+    class Stop(Exception):
+        pass
+
+    import stepframe.llm.mixing as module
+
+    walk = module._walk
+
+    def look(ranked, state, unit, k):
+        rates["ranked"] = {r.source for r in ranked.collect()}
+        raise Stop
+
+    module._walk = look
+    try:
+        with pytest.raises(Stop):
+            mix(d, cycle=(100, 1))
+    finally:
+        module._walk = walk
+    assert rates["ranked"] == {"b"}  # three copies of all of a
+
+
+def test_long_documents_do_not_stop_a_source(spark):
+    """Where the rank that does not fit is a very long text, short ones fill the gap."""
+    rows = [(i, "w " * 20, "", f"s{i % 12:02d}") for i in range(1200)] + [(2000 + i, "w " * 1500, "", f"s{i:02d}") for i in range(12)]
+    out = mix(table(spark, *rows), cycle=(1, 2)).groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect()
+    assert all(abs(r.k - r.t) <= 20 for r in out)
+
+
+def cheapest(sizes, lengths, overhead):
+    """The least cost of any packing, by trying all partitions."""
+    best = [sum(bin_cost(min(c for c in lengths if c >= s), overhead) for s in sizes)]
+
+    def place(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(bin_cost(min(c for c in lengths if c >= b), overhead) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= max(lengths):
+                place(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_comes_near_the_optimum():
+    r = random.Random(3)
+    ratios = []
+    for _ in range(60):
+        sizes = [r.randint(1, 64) for _ in range(r.randint(1, 8))]
+        cost = sum(bin_cost(c, 2) for c in pack(sizes, (8, 16, 32, 64), 2)[2])
+        ratios.append(cost / cheapest(sizes, (8, 16, 32, 64), 2))
+    assert min(ratios) >= 1 and max(ratios) <= 1.25 and sum(x == 1 for x in ratios) >= 30
+
+
+def test_copies_are_packed_apart(spark):
+    r = random.Random(5)
+    rows = [(i, "w " * r.randint(50, 700), "", "") for i in range(150)]
+    out = best_fit_packing(table(spark, *rows, *rows)).collect()
+    together = sum(n > 1 for n in __import__("collections").Counter((x.doc_id, x.bin_id) for x in out).values())
+    assert together <= 15
+
+
 def test_every_word_is_a_target(spark, monkeypatch):
     rows = ["alone", "two words", words(100), words(100), None, " "]
     seen, step = [], lm.Learner.step
@@ -379,3 +512,50 @@ def test_rare_languages_are_learned(spark):
     ids = [r.id for r in spark.range(4100).orderBy(F.xxhash64("id", F.lit(7))).collect()]
     rows = [(i, words(5, i), "en" if k < 4098 else "is", "a") for k, i in enumerate(ids)] + [(9000, None, "no", "a"), (None, "without an id", "xx", "a")]
     assert lid.train(table(spark, *rows).repartition(4)).langs == ["en", "is", "xx"]
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """Every word's probability from the definition, with whole windows counted over the other documents."""
+    r = random.Random(1)
+    common = words(12, 7).split()
+    rows = [(i, " ".join(r.choice(common) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(100, rows[3][1]), (101, words(40, 3)), (102, words(40, 3)), (103, words(40, 4)), (104, None), (105, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    totals = lm.word_counts(d)
+    counts = lm.Counts.of(totals, lm.clusters(d, totals))
+    model = lm.train(d, counts)
+    seen = {}  # window -> [(document, word)]
+    split = {i: [0, 0, *lm.tokens([t or ""])[0][2:-2].tolist(), 0, 0] for i, t in rows}
+    window = lambda w, k: (w[k - 2], w[k - 1], w[k + 1], w[k + 2])
+    for i, w in split.items():
+        for k in range(2, len(w) - 2):
+            seen.setdefault(window(w, k), []).append((i, w[k]))
+    got = {x.doc_id: x for x in lm.score(d, model, counts, int(totals.sum()), part_words=100).collect()}
+    for i, w in split.items():
+        logs, total = lm.network_logs(model, counts, np.array(w, np.uint64)), 0.0
+        for k in range(2, len(w) - 2):
+            others = [x for j, x in seen[window(w, k)] if j != i]
+            if others:
+                base = float(np.float16(logs[k]))
+                total += logs[k] - base + np.log((others.count(w[k]) + lm.PRIOR * np.exp(base)) / (len(others) + lm.PRIOR))
+            else:
+                total += logs[k]
+        assert got[i].n_tokens == len(w) - 4 and got[i].log_prob == pytest.approx(total, abs=1e-3)
+    assert got[3].log_prob == got[100].log_prob and got[104].mean_log_prob is None and got[105].log_prob == 0
+    assert got[101].mean_log_prob > got[103].mean_log_prob + 2
+    again = {x.doc_id: x.log_prob for x in lm.score(d, model, counts, int(totals.sum()), part_words=700).collect()}
+    assert again == {i: x.log_prob for i, x in got.items()}  # whatever the parts
+
+
+def test_repeats_score_apart(spark):
+    rows = [(i, words(30, i)) for i in range(200)] + [(1000 + i, words(30, 5000 + i // 2)) for i in range(40)]
+    got = {r.doc_id: r.mean_log_prob for r in lm.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert min(got[1000 + i] for i in range(40)) > max(got[i] for i in range(200))
+
+
+def test_anchors_of_two_languages_part():
+    pairs = np.ones((lm.ANCHORS, lm.ANCHORS))
+    half = lm.ANCHORS // 2
+    pairs[:half, :half] = pairs[half:, half:] = 50
+    groups = lm.group_anchors(pairs)
+    assert not set(groups[:half].tolist()) & set(groups[half:].tolist())
