@@ -21,12 +21,22 @@ from stepframe.llm.packing import best_fit_packing
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: A document goes if its language's probability is under this many times that of a blind guess.
+OVER_CHANCE = 1.1
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that have no language: null texts and texts without a letter, model or not."""
+    """Write the predicted language to ``lang`` and drop the documents that have none.
+
+    Those are null texts, texts without a letter, and texts that the network can't tell from any language:
+    its best score is under OVER_CHANCE times one over the number of languages. Where no document is
+    labelled nothing can be learnt; all texts with a letter stay then, as they are.
+    """
     model = lid.train(docs)
-    if model is None:  # nothing is labelled, so all texts would be undetermined
+    if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return lid.identify(docs, model).where(F.col("lang_pred") != lid.UNDETERMINED).select(*COLUMNS)
+    known = lid.identify(docs, model).where((F.col("lang_pred") != lid.UNDETERMINED) & (F.col("score") >= OVER_CHANCE / len(model.langs)))
+    return known.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in COLUMNS])
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
