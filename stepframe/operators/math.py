@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -206,7 +207,13 @@ def math_diff_from_agg(df: DataFrame, ctx: Context, column: str, agg: str, new_c
         value = F.first(x).over(Window.partitionBy(*map(c, keys)).orderBy(*ctx.order_by()).rowsBetween(Window.unboundedPreceding, 0))
         df = df.withColumn(f"{HIDDEN}agg", value)
     elif keys:
-        df = df.withColumn(f"{HIDDEN}agg", _AGGREGATES[agg](source).over(Window.partitionBy(*map(c, keys))))
+        # aggregates are combined before the shuffle, and a join of a large group can be split; a window could not
+        names = [f"{HIDDEN}k{i}" for i in range(len(keys))]
+        groups = df.groupBy(*[c(k).alias(n) for k, n in zip(keys, names)]).agg(_AGGREGATES[agg](source).alias(f"{HIDDEN}agg"))
+        same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+        df = df.join(groups, same, "left").drop(*names)
+    elif agg == "median":
+        df = df.withColumn(f"{HIDDEN}agg", F.lit(ctx.quantiles(df.select(source.alias(column)), f"math_diff_from_agg({column})", column, median=0.5)["median"]).cast("double"))
     else:
         if agg == "first":
             one = df.orderBy(*ctx.order_by()).limit(1).select(x.alias(f"{HIDDEN}agg")) if not ctx.dry else df.select(x.alias(f"{HIDDEN}agg"))
@@ -222,15 +229,26 @@ def math_diff_from_agg(df: DataFrame, ctx: Context, column: str, agg: str, new_c
 @operator(exists("column"), either, all_exist("order_by", "Order-by columns"), all_exist("group_by", "Group-by columns"), scope=grouped, group="group_by", ordered=True, prepare=lambda p: p if p["lag"] >= 1 else _at_least_one())
 def math_diff_lag(df: DataFrame, ctx: Context, column: str, order_by: str | list[str], new_column: str, group_by: str | Sequence[str] | None = None, lag: int = 1) -> DataFrame:
     """The value less the one ``lag`` rows before, in the given order; without groups rows are sorted so."""
-    keys = as_list(order_by)
-    if not as_list(group_by):
-        df = ctx.declare(df, [(k, False) for k in keys])
-        ctx.sorted = True
-        order = ctx.order_by()
-    else:
-        order = [*[c(k).asc_nulls_first() for k in keys], *ctx.order_by()]
-    w = Window.partitionBy(*[c(g) for g in as_list(group_by)]).orderBy(*order)
-    return replace(df, new_column, c(column) - F.lag(c(column), lag).over(w))
+    keys, x = as_list(order_by), c(column)
+    if as_list(group_by):
+        w = Window.partitionBy(*[c(g) for g in as_list(group_by)]).orderBy(*[c(k).asc_nulls_first() for k in keys], *ctx.order_by())
+        return replace(df, new_column, x - F.lag(x, lag).over(w))
+    df = ctx.declare(df, [(k, False) for k in keys])
+    ctx.sorted = True
+    bucket, columns = ctx.buckets(df), df.columns
+    if bucket is None:
+        return replace(df, new_column, x - F.lag(x, lag).over(Window.orderBy(*ctx.order_by())))
+    # within ranges of the order; the first rows of a range look the last rows of the ranges before up by their number
+    number, value, key, last = (f"{HIDDEN}{k}" for k in ("number", "value", "key", "last"))
+    df, name = with_offsets(df, bucket, F.count(F.lit(1)), f"{HIDDEN}carry")
+    w = Window.partitionBy(name).orderBy(*ctx.order_by())
+    df = df.withColumn(number, F.row_number().over(w)).withColumn(value, F.lag(x, lag).over(w)).withColumn(last, F.lead(F.lit(1), lag).over(w).isNull())
+    place = F.col(number) + F.coalesce(F.col(f"{HIDDEN}carry"), F.lit(0))
+    tails = df.where(F.col(last)).select((place + lag).alias(key), x.alias(f"{HIDDEN}tail"))  # at most lag rows a range
+    df = df.join(tails, F.when(F.col(number) <= lag, place) == F.col(key), "left")
+    before = F.when(F.col(number) <= lag, F.col(f"{HIDDEN}tail")).otherwise(F.col(value))
+    df = df.withColumn(f"{HIDDEN}out", x - before)
+    return _reordered(replace(df, new_column, F.col(f"{HIDDEN}out")), columns, new_column)
 
 
 def _at_least_one() -> dict[str, Any]:
@@ -270,9 +288,9 @@ def math_robust_scale(df: DataFrame, ctx: Context, column: str, median: float |
     """(c - median) / (q75 - q25), quantiles interpolated linearly; no or zero range gives 0."""
     x = c(column)
     if median is None or iqr is None:
-        found = ctx.stats(df, f"math_robust_scale({column})", q=F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))["q"]
-        if found:
-            median, iqr = (found[1] if median is None else median), (found[2] - found[0] if iqr is None else iqr)
+        found = ctx.quantiles(df, f"math_robust_scale({column})", column, q25=0.25, median=0.5, q75=0.75)
+        if found["median"] is not None:
+            median, iqr = (found["median"] if median is None else median), (found["q75"] - found["q25"] if iqr is None else iqr)
     out = F.lit(0.0) if not iqr or median is None else (x - F.lit(float(median))) / F.lit(float(iqr))
     return replace(df, new_column or column, out)
 
@@ -304,7 +322,7 @@ def math_winsorize(df: DataFrame, ctx: Context, column: str, lower: float | None
     """Clip at quantiles (linear) or at given values, which win."""
     x = c(column)
     asked = {k: q for k, q, v in (("lower", lower, lower_value), ("upper", upper, upper_value)) if q is not None and v is None}
-    found = ctx.stats(df, f"math_winsorize({column})", **{k: F.percentile(x, F.lit(float(q))) for k, q in asked.items()}) if asked else {}
+    found = ctx.quantiles(df, f"math_winsorize({column})", column, **asked) if asked else {}
     low, high = found.get("lower", lower_value), found.get("upper", upper_value)
     t = df.schema[column].dataType
     return replace(df, new_column or column, clamp(x.cast("double") if asked else x, low, high, T.DoubleType() if asked else t))

@@ -98,20 +98,89 @@ class Context:
         return self.ranges(df, key.name, key.descending, key.nulls_first)
 
     def ranges(self, df: DataFrame, column: str, descending: bool, nulls_first: bool) -> Column | None:
-        """Ranges of a column's values between its quantiles; equal values share a range. None for other types."""
+        """Ranges of a column's values, about equally full; equal values share a range. None for types without literals.
+
+        Numbers and times are cut at approximate quantiles; other types where Spark's own range partitioning
+        of the column alone puts the bounds. The driver gets one value a range.
+        """
         x, t = c(column), df.schema[column].dataType
-        if self.dry or not (is_numeric(t) or is_datetime(t)) or isinstance(t, (T.DayTimeIntervalType, T.DecimalType)):
+        if self.dry or isinstance(t, (T.StructType, T.ArrayType, T.MapType, T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
             return None
-        number = F.unix_micros(x.cast("timestamp")).cast("double") if is_datetime(t) else x.cast("double")
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bounds = sorted(set(df.select(number.alias("x")).where("x IS NOT NULL AND NOT isnan(x)").approxQuantile("x", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+        if (is_numeric(t) or is_datetime(t)) and not isinstance(t, T.DecimalType):
+            key = F.unix_micros(x.cast("timestamp")).cast("double") if is_datetime(t) else x.cast("double")
+            bounds = df.select(key.alias("x")).where("x IS NOT NULL AND NOT isnan(x)").approxQuantile("x", [i / n for i in range(1, n)], 0.5 / n) if n > 1 else []
+            nan = F.isnan(key)
+        else:
+            key, nan = x, F.lit(False)
+            found = df.select(x.alias("x")).where("x IS NOT NULL").repartitionByRange(n, "x").groupBy(F.spark_partition_id()).agg(F.max("x").alias("x")).collect()
+            bounds = sorted(r.x for r in found)[:-1]
+        bounds = sorted(set(bounds))
         rank = F.lit(0)
         for b in bounds:
-            rank = rank + (number > F.lit(b)).cast("int")
-        rank = F.when(F.isnan(number), F.lit(len(bounds))).otherwise(rank)
+            rank = rank + (key > F.lit(b)).cast("int")
+        rank = F.when(nan, F.lit(len(bounds))).otherwise(rank)
         first = -1 if nulls_first else len(bounds) + 1
         return F.when(x.isNull(), F.lit(first)).otherwise(-rank + len(bounds) if descending else rank)
 
+    def quantiles(self, df: DataFrame, label: str, column: str, **asked: float) -> dict[str, float | None]:
+        """Exact quantiles, interpolated linearly; no task and no driver holds the column.
+
+        The range of values is cut into cells of equal width, and the cell in which a rank falls is cut again,
+        until it holds one value or few enough to fetch. Each cut is a count by cell. NaN is the largest value.
+        """
+        if self.dry:
+            return dict.fromkeys(asked)
+        x = c(column).cast("double")
+        values = df.select(x.alias("x")).where("x IS NOT NULL")
+        real = values.where("NOT isnan(x)")
+        total = values.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.isnan("x"), 1)).alias("real"), F.min("x").alias("low"), F.max(F.when(~F.isnan("x"), F.col("x"))).alias("high")).first()
+        found: dict[str, float | None] = {}
+        for name, q in asked.items():
+            if not total.n:
+                found[name] = None
+                continue
+            at = q * (total.n - 1)
+            k = int(at)
+            a, b = _order_statistics(real, total, k) if k < total.real else (float("nan"), float("nan"))
+            found[name] = a if at == k else (k + 1 - at) * a + (at - k) * b
+        self.derived.setdefault(label, {}).update(found)
+        return found
+
+
+#: Cells of one cut, and how many values the driver fetches at last.
+_CUTS, _FEW = 4096, 4096
+
+
+def _order_statistics(values: DataFrame, total: Any, k: int) -> tuple[float, float]:
+    """The values of rank k and k + 1 (from 0) of column x; of the last rank twice the last."""
+    low, high, below, inside = total.low, total.high, 0, total.real
+    while inside > _FEW and low < high and (high - low) / _CUTS > 0 and high - low != float("inf"):
+        width = (high - low) / _CUTS
+        cell = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(_CUTS - 1))
+        held = values.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
+        counts = sorted((r.c, r.n, r.a, r.b) for r in held.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect())
+        before = (low, high)
+        for _, n, a, b in counts:
+            if k < below + n:
+                low, high, inside = a, b, n
+                break
+            below += n
+        if (low, high) == before:
+            break
+    held = values.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
+    if low < high:
+        run = below
+        for r in sorted(held.groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()):  # few values, or neighbouring doubles
+            run += r.n
+            if k < run:
+                low = r.x
+                break
+    after = values.agg(F.count(F.when(F.col("x") <= F.lit(low), 1)).alias("n"), F.min(F.when(F.col("x") > F.lit(low), F.col("x"))).alias("next")).first()
+    if k + 1 < after.n:
+        return low, low
+    return low, after.next if after.next is not None else float("nan") if total.n > total.real else low
+
 
 def with_offsets(df: DataFrame, bucket: Column, total: Column, carry: str, reverse: bool = False) -> tuple[DataFrame, str]:
     """Add ``carry``: the sum of ``total`` over all buckets before a row's own; returns the bucket's name too."""

@@ -1,5 +1,7 @@
 import datetime as dt
+import decimal
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +226,71 @@ def test_join(spark):
 @pytest.mark.parametrize("step", [lambda p: p.rows_sort("value").rows_head(), lambda p: p.math_standardize("value"), lambda p: p.math_cumsum("value"), lambda p: p.rows_pivot("id", "name", "value", "sum"), lambda p: p.map_onehot("name"), lambda p: p.col_fill_null("value", strategy="forward"), lambda p: p.rows_sample(3), lambda p: p.math_diff_from_agg("value", "mean", "d"), lambda p: p.rows_tail(), lambda p: p.math_winsorize("value", lower=0.1), lambda p: p.map_from_column("id", "id", "name", "o"), lambda p: p.rows_deduplicate("id", "value")])
 def test_empty_frames(empty, step):
     assert step(Plan()).transform(empty).count() == 0
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["normal", "skewed", "ties", "few", "nan"])
+def test_quantiles_are_exact(spark, monkeypatch, kind):
+    from stepframe.plans import context
+
+    monkeypatch.setattr(context, "_FEW", 3)
+    monkeypatch.setattr(context, "_CUTS", 8)
+    r = random.Random(2)
+    v = {
+        "normal": [r.gauss(0, 1) for _ in range(500)],
+        "skewed": [10.0 ** r.randint(-9, 9) for _ in range(300)] + [-1e300, 1e-300],
+        "ties": [float(r.randint(0, 3)) for _ in range(300)],
+        "few": [5.0, 1.0],
+        "nan": [*map(float, range(20)), *[float("nan")] * 4],
+    }[kind]
+    d = spark.createDataFrame([(x,) for x in [*v, None]], "v double").repartition(3)
+    asked = [0.0, 0.03, 0.1, 0.5, 0.77, 0.95, 1.0]
+    want = d.agg(F.percentile("v", F.array(*[F.lit(q) for q in asked]))).first()[0]
+    got = context.Context().quantiles(d, "x", "v", **{f"q{i}": q for i, q in enumerate(asked)})
+    assert str(list(got.values())) == str(want)
+    assert context.Context().quantiles(d.limit(0), "x", "v", a=0.5) == {"a": None}
+
+
+@pytest.mark.parametrize("order", ["id bigint", "id string", "id decimal(12,2)", "id date"])
+@pytest.mark.parametrize("lag", [1, 3, 40])
+def test_lag_over_ranges(spark, order, lag):
+    kind = order.split(" ")[1]
+    key = {"bigint": lambda i: i, "string": lambda i: f"{i:04d}", "decimal(12,2)": lambda i: decimal.Decimal(i), "date": lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)}[kind]
+    rows = [(key(i), i * i) for i in range(60)]
+    r = random.Random(lag)
+    d = spark.createDataFrame(r.sample(rows, 60), f"{order}, v bigint").repartition(3)
+    out = Plan().math_diff_lag("v", order_by="id", new_column="x", lag=lag).transform(d)
+    assert [x.x for x in out.collect()] == [i * i - (i - lag) ** 2 if i >= lag else None for i in range(60)]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,1)", "boolean"])
+@pytest.mark.parametrize("method", ["dense", "min", "average"])
+def test_rank_of_any_type_by_ranges(spark, kind, method):
+    r = random.Random(3)
+    d = spark.createDataFrame([(i, r.choice([None, r.randint(0, 30)]), "g") for i in range(200)], "id bigint, n bigint, g string").withColumn("v", F.col("n").cast(kind))
+    one, many = (Plan().math_rank("v", "r", method, group_by=g).transform(d) for g in (None, "g"))
+    assert sorted(map(str, one.select("id", "r").collect())) == sorted(map(str, many.select("id", "r").collect()))
+
+
+def test_samples_are_filters(spark):
+    d = spark.range(5000).withColumn("v", F.col("id") % 7).repartition(4)
+    out = Plan().rows_sample(fraction=0.3, seed=5).transform(d)
+    assert out.count() == 1500 and out.distinct().count() == 1500
+    assert "TakeOrdered" not in physical(out) and "SinglePartition" not in physical(out)
+    assert sorted(out.collect()) == sorted(Plan().rows_sample(n=1500, seed=5).transform(d.repartition(2)).collect())
+    equal = spark.range(1000).select(F.lit(1).alias("a"), (F.col("id") % 2).alias("b")).repartition(3)
+    for n in (0, 1, 499, 500, 501, 777, 1000, 2000):
+        got = Plan().rows_sample(n=n, seed=1).transform(equal)
+        assert got.count() == min(n, 1000) and got.columns == ["a", "b"]
+
+
+@pytest.mark.parametrize("agg", ["sum", "mean", "min", "max", "count", "median"])
+def test_differences_from_groups(spark, agg):
+    d = spark.createDataFrame([("a", None, 1), ("a", None, 4), ("b", 1, 5), (None, 1, None), (None, 1, 7)], "g string, h int, v int")
+    got = {(r.g, r.h, r.v): r.x for r in Plan().math_diff_from_agg("v", agg, "x", group_by=["g", "h"]).transform(d).collect()}
+    f = {"sum": sum, "mean": lambda x: sum(x) / len(x), "min": min, "max": max, "count": len, "median": lambda x: sorted(x)[len(x) // 2] if len(x) % 2 else sum(x) / len(x)}[agg]
+    of = {("a", None): [1, 4], ("b", 1): [5], (None, 1): [7]}
+    assert got == {k: None if k[2] is None else k[2] - f(of[k[:2]]) for k in got} and len(got) == 5
