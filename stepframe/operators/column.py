@@ -156,9 +156,8 @@ def _uuid_params(p: dict[str, Any]) -> dict[str, Any]:
 
 @operator(is_new("column"), prepare=_uuid_params)
 def col_add_uuid(df: DataFrame, ctx: Context, column: str, length: int = 16, seed: int | None = None) -> DataFrame:
-    """A random alphanumeric id for each row, written out at once where the session has a checkpoint folder."""
-    out = replace(df, column, F.randstr(F.lit(length), F.lit(seed)))
-    return out.checkpoint() if not ctx.dry and df.sparkSession.sparkContext.getCheckpointDir() else out
+    """A random alphanumeric id for each row; the step keeps the seed, so that a lost task draws the same ones again."""
+    return replace(df, column, F.randstr(F.lit(length), F.lit(seed)))
 
 
 @operator(all_exist("columns"), is_new("new_column"))

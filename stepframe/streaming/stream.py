@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +28,21 @@ def transform_stream(plan: Any, stream: DataFrame) -> DataFrame:
     return plan.transform(stream)
 
 
-def stream_table(spark: SparkSession, plan: Any, path: str, checkpoint: str) -> DataFrame:
-    """Run the plan over the files at ``path`` as a stream until all are processed; the result as a table in memory."""
+def stream_table(spark: SparkSession, plan: Any, path: str, work: str) -> DataFrame:
+    """Run the plan over the files at ``path`` as a stream until all are processed.
+
+    The result is written as Parquet below ``work``, beside the stream's checkpoint, and read from there; a
+    restart with the same folder goes on where the stream stopped.
+    """
     schema = spark.read.parquet(path).schema
     # a single file is a source by its folder and name
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     stream = source.parquet(path) if not name.endswith(".parquet") or _is_folder(spark, path) else source.option("pathGlobFilter", name).parquet(folder)
-    out = f"stream_{uuid.uuid4().hex}"
-    running = transform_stream(plan, stream).writeStream.format("memory").queryName(out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    result = transform_stream(plan, stream)
+    running = result.writeStream.format("parquet").option("path", f"{work}/result").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(out)
+    return spark.read.schema(result.schema).parquet(f"{work}/result")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
