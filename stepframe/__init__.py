@@ -2,9 +2,9 @@
 
 from .filters import Col, Filter
 from .plans.audit import frame_hash
-from .plans.chunked import ChunkedProtocol
+from .plans.chunked import ChunkedProtocol, ChunkInfo, ChunkingError
 from .plans.plan import Plan
 from .plans.protocol import Protocol
-from .plans.validate import DryRun, SchemaValidationError, Validation
+from .plans.validate import ChunkValidation, DryRun, DryRunStep, SchemaValidationError, Validation, ValidationError
 
-__all__ = ["ChunkedProtocol", "Col", "DryRun", "Filter", "Plan", "Protocol", "SchemaValidationError", "Validation", "frame_hash"]
+__all__ = ["ChunkInfo", "ChunkValidation", "ChunkedProtocol", "ChunkingError", "Col", "DryRun", "DryRunStep", "Filter", "Plan", "Protocol", "SchemaValidationError", "Validation", "ValidationError", "frame_hash"]

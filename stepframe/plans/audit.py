@@ -40,14 +40,17 @@ def metrics(df: DataFrame, hashed: bool) -> list[Column]:
     out = [F.count(F.lit(1)).alias("rows")]
     if hashed:
         h = row_hash(df)
-        out += [F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor")]
+        # the sum of all hashes by 16 bits each: sums of longs are cheap, and don't overflow below 2^47 rows
+        out += [F.sum(F.shiftright(h, 16 * k).bitwiseAND(F.lit(0xFFFF)) if k < 3 else F.shiftright(h, 48)).alias(f"sum{k}") for k in range(4)]
+        out.append(F.bit_xor(h).alias("xor"))
     return out
 
 
 def digest(df: DataFrame, found: dict[str, Any]) -> str:
     """16 hex digits from the schema and the aggregated row hashes; repeated rows count."""
     schema = "|".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name) if not f.name.startswith(HIDDEN))
-    return hashlib.sha256(f"{schema}#{found['rows']}#{found['sum'] or 0}#{found['xor'] or 0}".encode()).hexdigest()[:16]
+    total = sum((found.get(f"sum{k}") or 0) << (16 * k) for k in range(4))
+    return hashlib.sha256(f"{schema}#{found['rows']}#{total}#{found.get('xor') or 0}".encode()).hexdigest()[:16]
 
 
 def frame_hash(df: DataFrame) -> str:
@@ -67,7 +70,7 @@ class _Watch:
 
     def result(self) -> tuple[tuple[int, int], str | None]:
         found = self.observation.get
-        found = {"rows": found.get("rows") or 0, "sum": found.get("sum"), "xor": found.get("xor")}
+        found = {**found, "rows": found.get("rows") or 0}
         return (found["rows"], n_columns(self.frame)), digest(self.frame, found) if self.hashed else None
 
 

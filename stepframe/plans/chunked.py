@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 from pathlib import Path
 from typing import Any
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import c
 from ..registry import REGISTRY, Scope, as_list
-from ..steps import Step
+from ..steps import Step, encode
 from .audit import digest, metrics, row_hash
 from .context import HIDDEN, Context
 
@@ -52,39 +54,85 @@ def chunk_problems(steps: Sequence[Step], partition_key: str | Sequence[str] | N
     return out
 
 
+class ChunkingError(ValueError):
+    """A plan that can't run by chunks; ``validation_result`` says why."""
+
+    def __init__(self, message: str, validation_result: Any = None) -> None:
+        super().__init__(message)
+        self.validation_result = validation_result
+
+
+@dataclass
+class ChunkInfo:
+    """Rows and content hash of one chunk before and after."""
+
+    chunk_index: int
+    input_rows: int
+    output_rows: int
+    input_hash: str | None
+    output_hash: str | None
+    elapsed_seconds: float = 0.0
+
+
 class ChunkedProtocol:
-    """Rows and hashes of every chunk, before and after."""
+    """Rows and hashes of every chunk, before and after. Chunks run at once: a chunk's time is its part of the whole by rows."""
+
+    VERSION = "1.0"
 
-    def __init__(self, source: str, partition_key: list[str], chunk_size: int, operations: list[dict[str, Any]]) -> None:
-        self.source, self.partition_key, self.chunk_size, self.operations = source, partition_key, chunk_size, operations
-        self.chunks: list[dict[str, Any]] = []
+    def __init__(self, source: str = "", partition_key: Sequence[str] = (), chunk_size: int = 0, operations: Sequence[dict[str, Any]] = ()) -> None:
+        self.source, self.partition_key, self.chunk_size, self.operations = source, list(partition_key), chunk_size, list(operations)
+        self.metadata: dict[str, Any] = {}
+        self.chunks: list[ChunkInfo] = []
         self.elapsed = 0.0
 
+    def set_metadata(self, **values: Any) -> ChunkedProtocol:
+        self.metadata.update(values)
+        return self
+
+    def add_chunk(self, chunk: ChunkInfo) -> None:
+        self.chunks.append(chunk)
+
     @property
     def num_chunks(self) -> int:
         return len(self.chunks)
 
+    def __len__(self) -> int:
+        return len(self.chunks)
+
     @property
     def total_input_rows(self) -> int:
-        return sum(x["input_rows"] for x in self.chunks)
+        return sum(x.input_rows for x in self.chunks)
 
     @property
     def total_output_rows(self) -> int:
-        return sum(x["output_rows"] for x in self.chunks)
+        return sum(x.output_rows for x in self.chunks)
+
+    @property
+    def total_elapsed_seconds(self) -> float:
+        return self.elapsed
+
+    def output_hash(self) -> str:
+        """16 hex digits over the chunks' output hashes, in order; empty without chunks."""
+        return hashlib.sha256("|".join(x.output_hash or "" for x in self.chunks).encode()).hexdigest()[:16] if self.chunks else ""
 
     def to_dict(self) -> dict[str, Any]:
-        return {"version": "1.0", "source": self.source, "partition_key": self.partition_key, "chunk_size": self.chunk_size, "operations": self.operations, "chunks": self.chunks, "elapsed": self.elapsed}
+        source = {"path": self.source, "partition_key": self.partition_key, "chunk_size": self.chunk_size}
+        totals = {"num_chunks": self.num_chunks, "total_input_rows": self.total_input_rows, "total_output_rows": self.total_output_rows, "total_elapsed_seconds": self.elapsed, "output_hash": self.output_hash()}
+        return {"version": self.VERSION, "metadata": {k: encode(v) for k, v in self.metadata.items()}, "source": source, "operations": self.operations, "summary": totals, "chunks": [asdict(x) for x in self.chunks]}
 
-    def to_json(self, path: str | Path | None = None) -> str:
-        text = json.dumps(self.to_dict(), indent=2, ensure_ascii=False, default=str)
+    def to_json(self, path: str | Path | None = None, indent: int | None = 2) -> str:
+        text = json.dumps(self.to_dict(), indent=indent, ensure_ascii=False, default=str)
         if path is not None:
             Path(path).write_text(text, encoding="utf-8")
         return text
 
     @classmethod
     def from_dict(cls, data: dict[str, Any]) -> ChunkedProtocol:
-        out = cls(data["source"], data["partition_key"], data["chunk_size"], data["operations"])
-        out.chunks, out.elapsed = data["chunks"], data["elapsed"]
+        source = data.get("source", {})
+        out = cls(source.get("path", ""), source.get("partition_key") or (), source.get("chunk_size", 0), data.get("operations", ()))
+        out.metadata = dict(data.get("metadata", {}))
+        out.chunks = [ChunkInfo(**x) for x in data.get("chunks", [])]
+        out.elapsed = data.get("summary", {}).get("total_elapsed_seconds", 0.0)
         return out
 
     @classmethod
@@ -95,7 +143,7 @@ class ChunkedProtocol:
     def summary(self) -> str:
         mean = self.elapsed / self.num_chunks if self.chunks else 0.0
         lines = [f"{self.source}: {self.num_chunks} chunks of {self.chunk_size}, {self.total_input_rows} -> {self.total_output_rows} rows, {self.elapsed:.4f}s ({mean:.4f}s a chunk on average: chunks run at once)"]
-        lines += [f"{x['chunk']:>5} {x['input_rows']:>10} -> {x['output_rows']:<10} {x['output_hash'] or ''}" for x in self.chunks]
+        lines += [f"{x.chunk_index:>5} {x.input_rows:>10} -> {x.output_rows:<10} {x.output_hash or ''}" for x in self.chunks]
         return "\n".join(lines)
 
     def print(self) -> None:
@@ -147,7 +195,9 @@ def run_chunked(plan: Any, source: Any, partition_key: Any, chunk_size: int, ref
         data = spark.read.parquet(name)
     if missing := [k for k in keys if k not in data.columns]:
         raise ValueError(f"Columns do not exist: {missing}")
-    plan.validate_chunked(keys, data, strict=strict).raise_if_invalid()
+    found = plan.validate_chunked(keys, data, strict=strict)
+    if not found.is_valid:
+        raise ChunkingError(str(found), found)
     protocol = ChunkedProtocol(name, keys, chunk_size, [s.to_dict() for s in plan.steps])
     ctx = Context(references)
     # chunks are joined to the rows, so their order is taken at the source
@@ -162,12 +212,14 @@ def run_chunked(plan: Any, source: Any, partition_key: Any, chunk_size: int, ref
     after = {r[0]: r.asDict() for r in df.groupBy((F.col(CHUNK) if carried else F.lit(0)).alias("k")).agg(*hashed(df)).collect()}
     for k in sorted(before) if carried else [0]:
         x = before[k] if carried else None
-        y = after.get(k, {"rows": 0, "sum": 0, "xor": 0})
-        protocol.chunks.append({"chunk": k, "input_rows": x["rows"] if x else sum(v["rows"] for v in before.values()), "output_rows": y["rows"], "input_hash": digest(data, x) if x else None, "output_hash": digest(df, y)})
+        y = after.get(k, {"rows": 0})
+        protocol.add_chunk(ChunkInfo(k, x["rows"] if x else sum(v["rows"] for v in before.values()), y["rows"], digest(data, x) if x else None, digest(df, y)))
     from .audit import finish
 
     protocol.elapsed = time.perf_counter() - began
+    for x in protocol.chunks:
+        x.elapsed_seconds = protocol.elapsed * x.input_rows / max(1, protocol.total_input_rows)
     return finish(df, ctx), protocol
 
 
-__all__ = ["ChunkedProtocol", "chunk_problems", "number_chunks", "row_hash", "run_chunked"]
+__all__ = ["ChunkInfo", "ChunkedProtocol", "ChunkingError", "chunk_problems", "number_chunks", "row_hash", "run_chunked"]

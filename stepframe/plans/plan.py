@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from .. import operators  # noqa: F401  fills the registry
 from ..code import code
 from ..filters import Filter
-from ..registry import REGISTRY, Operator
+from ..registry import REGISTRY, Operator, Scope, as_list
 from ..steps import Step, decode
 from .audit import run
 from .chunked import ChunkedProtocol, chunk_problems, run_chunked
 from .protocol import Protocol
-from .validate import DryRun, Validation, dry_run, validate
+from .validate import ChunkValidation, DryRun, Validation, dry_run, validate
 
 VERSION = "1.0"
 
@@ -129,12 +129,18 @@ class Plan:
         """The schema before and after each step; no data is read."""
         return dry_run(self.steps, data, references)
 
-    def validate_chunked(self, partition_key: str | Sequence[str] | None = None, data: DataFrame | None = None, *, strict: bool = True) -> Validation:
+    def validate_chunked(self, partition_key: str | Sequence[str] | None = None, data: DataFrame | None = None, *, strict: bool = True) -> ChunkValidation:
         """Whether chunks of rows (of whole partition keys) can be processed one by one."""
-        found = chunk_problems(self.steps, partition_key, strict)
+        found = ChunkValidation(list(chunk_problems(self.steps, partition_key, strict)))
+        for s in self.steps:
+            op = REGISTRY[s.operation]
+            if op.scope(s.params) is Scope.GLOBAL:
+                found.global_operations.append(s.operation)
+            elif op.scope(s.params) is Scope.GROUP:
+                found.group_dependent_ops.append((s.operation, as_list(s.params[op.group_param])))
         if data is not None:
-            found = [*found, *self.validate(data).errors]
-        return Validation(found)
+            found.errors += self.validate(data).errors
+        return found
 
     def process_chunked(self, source: str | Path | DataFrame, *, partition_key: str | Sequence[str] | None = None, chunk_size: int = 50_000, references: dict[str, DataFrame] | None = None, strict_chunking: bool = True, spark: Any = None) -> tuple[DataFrame, ChunkedProtocol]:
         """Process a Parquet source by chunks in one distributed job; see run_chunked()."""

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..steps import Step, encode
+from .validate import shown
 
 Shape = tuple[int, int]
 NO_EFFECT = "○"
@@ -95,8 +96,8 @@ class Protocol:
             "elapsed": self.elapsed,
         }
 
-    def to_json(self, path: str | Path | None = None) -> str:
-        text = json.dumps(self.to_dict(), indent=2, ensure_ascii=False, default=str)
+    def to_json(self, path: str | Path | None = None, indent: int | None = 2) -> str:
+        text = json.dumps(self.to_dict(), indent=indent, ensure_ascii=False, default=str)
         if path is not None:
             Path(path).write_text(text, encoding="utf-8")
         return text
@@ -137,7 +138,8 @@ class Protocol:
         schema = "step int, operation string, params string, section string, reason string, rows_before long, rows_after long, columns_before int, columns_after int, output_hash string, changed boolean, elapsed double"
         return spark.createDataFrame([tuple(r[k] for k in self._FIELDS) for r in self._flat()], schema)
 
-    def summary(self) -> str:
+    def summary(self, *, show_params: bool = True) -> str:
+        """Input, a line a step under its section, and output; with the parameters of each step by default."""
         out = [f"input {self.input_shape} {self.input_hash or ''}".rstrip()]
         section = None
         for s in self._steps:
@@ -147,8 +149,10 @@ class Protocol:
             shape = tuple(s["output_shape"]) if s["output_shape"] else ""
             mark = f" {NO_EFFECT}" if s["changed"] is False else ""
             out.append(f"{s['step']:>3} {s['operation']:<24} {shape} {s['output_hash'] or ''} {s['elapsed']:.4f}s{mark}" + (f"  because {s['reason']}" if s.get("reason") else ""))
+            if show_params and s["params"]:
+                out.append(f"      {shown(s['params'])}")
         out.append(f"output {self.output_shape} in {self.elapsed:.4f}s")
         return "\n".join(out)
 
-    def print(self) -> None:
-        print(self.summary())
+    def print(self, *, show_params: bool = True) -> None:
+        print(self.summary(show_params=show_params))

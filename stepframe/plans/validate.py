@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..filters import Filter
 from ..registry import REGISTRY, Scope
-from ..steps import Step
+from ..steps import Step, encode
 from .context import HIDDEN, Context
 
 
@@ -18,24 +21,49 @@ class SchemaValidationError(ValueError):
     """A plan that doesn't fit a schema."""
 
 
+@dataclass(frozen=True)
+class ValidationError:
+    """What is wrong with one step."""
+
+    step: int
+    operation: str
+    message: str
+
+    def __str__(self) -> str:
+        return f"Step {self.step} ({self.operation}): {self.message}"
+
+
 @dataclass
 class Validation:
-    errors: list[str] = field(default_factory=list)
+    """All that is wrong; ``warnings`` don't make a plan invalid."""
+
+    errors: list[ValidationError | str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
+    def add_error(self, step: int, operation: str, message: str) -> None:
+        self.errors.append(ValidationError(step, operation, message))
+
     @property
     def is_valid(self) -> bool:
         return not self.errors
 
     def raise_if_invalid(self) -> None:
         if self.errors:
-            raise SchemaValidationError("\n".join(self.errors))
+            raise SchemaValidationError(f"the plan has {len(self.errors)} error(s):\n" + "\n".join(map(str, self.errors)))
 
     def __bool__(self) -> bool:
         return self.is_valid
 
     def __str__(self) -> str:
-        return "valid" if self.is_valid else "\n".join(self.errors)
+        return "valid" if self.is_valid else "\n".join(map(str, self.errors))
+
+
+@dataclass
+class ChunkValidation(Validation):
+    """Also says which steps need the whole table, and which need whole groups (by what columns)."""
+
+    global_operations: list[str] = field(default_factory=list)
+    group_dependent_ops: list[tuple[str, list[str] | None]] = field(default_factory=list)
 
 
 @dataclass
@@ -45,6 +73,11 @@ class DryRunStep:
     schema_before: dict[str, str]
     schema_after: dict[str, str]
     error: str | None = None
+    params: dict[str, Any] = field(default_factory=dict)
+
+    @property
+    def step(self) -> int:
+        return self.number
 
     @property
     def columns_added(self) -> list[str]:
@@ -62,7 +95,8 @@ class DryRunStep:
 @dataclass
 class DryRun:
     steps: list[DryRunStep]
-    errors: list[str]
+    errors: list[ValidationError]
+    input_schema: dict[str, str] = field(default_factory=dict)
 
     @property
     def is_valid(self) -> bool:
@@ -70,18 +104,43 @@ class DryRun:
 
     @property
     def output_schema(self) -> dict[str, str]:
-        return self.steps[-1].schema_after if self.steps else {}
+        return self.steps[-1].schema_after if self.steps else self.input_schema
+
+    @property
+    def input_columns(self) -> list[str]:
+        return list(self.input_schema)
 
-    def summary(self) -> str:
-        out = []
+    @property
+    def output_columns(self) -> list[str]:
+        return list(self.output_schema)
+
+    def summary(self, *, show_params: bool = True, show_schema: bool = False) -> str:
+        """A line a step: columns before and after, and what is added, removed or changed in type."""
+        out = [f"input {len(self.input_schema)} columns"]
+        if show_schema:
+            out.append(f"      {shown(self.input_schema)}")
         for s in self.steps:
             changes = [f"{sign}{x}" for sign, xs in (("+", s.columns_added), ("-", s.columns_removed), ("~", s.columns_modified)) for x in xs]
             out.append(f"{s.number:>3} {s.operation:<24} {len(s.schema_before):>3} -> {len(s.schema_after):<3} {' '.join(changes)}" + (f"  ERROR {s.error}" if s.error else ""))
-        out.append("valid" if self.is_valid else f"{len(self.errors)} errors")
+            if show_params and s.params:
+                out.append(f"      {shown(s.params)}")
+            if show_schema:
+                out.append(f"      {shown(s.schema_after)}")
+        out.append(f"output {len(self.output_schema)} columns, " + ("valid" if self.is_valid else f"{len(self.errors)} errors"))
         return "\n".join(out)
 
-    def print(self) -> None:
-        print(self.summary())
+    def print(self, *, show_params: bool = True, show_schema: bool = False) -> None:
+        print(self.summary(show_params=show_params, show_schema=show_schema))
+
+
+def shown(params: dict[str, Any], width: int = 100) -> str:
+    """Parameters on one line; values that are not given are left out, long lines are cut."""
+    text = ", ".join(f"{k}={_shown_filter(v) if isinstance(v, Filter) else v!r}" for k, v in params.items() if v is not None)
+    return text if len(text) <= width else text[: width - 3] + "..."
+
+
+def _shown_filter(v: Filter) -> str:
+    return json.dumps(encode(v.to_dict()), ensure_ascii=False, default=str)
 
 
 def start_of_order(steps: Sequence[Step]) -> int | None:
@@ -144,10 +203,10 @@ def dry_run(steps: Sequence[Step], data: DataFrame, references: dict[str, DataFr
         if problems and open_schema and all("exist" in p for p in problems):
             problems = []
         text = "; ".join(problems) or None
-        out.append(DryRunStep(i, s.operation, {k: t.simpleString() for k, t in before.items()}, {k: t.simpleString() for k, t in _visible(after).items()}, text))
-        errors += [f"Step {i} ({s.operation}): {p}" for p in problems]
+        out.append(DryRunStep(i, s.operation, {k: t.simpleString() for k, t in before.items()}, {k: t.simpleString() for k, t in _visible(after).items()}, text, dict(s.params)))
+        errors += [ValidationError(i, s.operation, p) for p in problems]
         df, open_schema = after, open_schema or op.open_schema(s.params)
-    return DryRun(out, errors)
+    return DryRun(out, errors, {k: t.simpleString() for k, t in _visible(data).items()})
 
 
 def validate(steps: Sequence[Step], data: DataFrame, references: dict[str, DataFrame] | None) -> Validation:

@@ -194,7 +194,7 @@ def test_chunks(spark, tmp_path):
     assert frame_hash(out) == frame_hash(plan.transform(spark.read.parquet(str(tmp_path / "x"))))
     assert protocol.total_input_rows == 10 and protocol.total_output_rows == 7 and protocol.num_chunks >= 2
     out, protocol = Plan().math_add("v", 1).process_chunked(d.coalesce(1), chunk_size=4)
-    assert [c["input_rows"] for c in protocol.chunks] == [4, 4, 2]
+    assert [c.input_rows for c in protocol.chunks] == [4, 4, 2]
     out, _ = Plan().rows_head(3).process_chunked(d.coalesce(1), chunk_size=4, strict_chunking=False)
     assert [r.v for r in out.collect()] == [0, 1, 2]
     out, protocol = Plan().col_drop("v").process_chunked(d.limit(0))
@@ -218,3 +218,87 @@ def test_sources(spark, basic, tmp_path):
         read_table(spark, f"{tmp_path}/t.csv")
     with pytest.raises(ValueError, match="format"):
         read_table(spark, "x.foo")
+
+
+def test_results_are_objects(basic, spark, tmp_path):
+    plan = Plan().col_drop("nope").rows_filter(Col("age") > 26).math_add("name", 1)
+    found = plan.validate(basic)
+    assert [(e.step, e.operation) for e in found.errors] == [(1, "col_drop"), (3, "math_add")] and str(found.errors[1]).startswith("Step 3 (math_add): ")
+    with pytest.raises(SchemaValidationError, match="2 error"):
+        found.raise_if_invalid()
+    run = Plan().col_drop("age").math_multiply("salary", 2).dry_run(basic)
+    assert run.input_columns == basic.columns and run.output_columns == [c for c in basic.columns if c != "age"]
+    assert run.input_schema["salary"] == "double" and run.steps[1].params["value"] == 2 and run.steps[1].step == 2
+    assert "value=2" in run.summary() and "value=2" not in run.summary(show_params=False) and "bigint" in run.summary(show_schema=True)
+    assert Plan().dry_run(basic).output_columns == basic.columns
+
+
+def test_protocols_show_parameters(basic):
+    _, protocol = Plan().rows_filter(Col("age") > 26).math_add("age", 7).process(basic)
+    assert "value=7" in protocol.summary() and "value=7" not in protocol.summary(show_params=False)
+    assert "26" in protocol.summary() and "\n" not in protocol.to_json(indent=None)
+
+
+def test_chunked_protocols(basic):
+    from stepframe import ChunkedProtocol, ChunkingError
+
+    _, protocol = Plan().rows_filter(Col("age") > 26).process_chunked(basic, chunk_size=2)
+    protocol.set_metadata(run="r1")
+    back = ChunkedProtocol.from_json(protocol.to_json(indent=None))
+    assert back.to_dict() == protocol.to_dict() and back.metadata == {"run": "r1"} and len(back) == 3
+    assert back.output_hash() == protocol.output_hash() and len(back.output_hash()) == 16 and ChunkedProtocol().output_hash() == ""
+    assert [(c.chunk_index, c.input_rows, c.output_rows) for c in back.chunks] == [(0, 2, 1), (1, 2, 2), (2, 1, 1)]
+    with pytest.raises(ChunkingError) as error:
+        Plan().rows_sort("age").math_cumsum("age", group_by="id").process_chunked(basic)
+    assert error.value.validation_result.global_operations == ["rows_sort"]
+    assert error.value.validation_result.group_dependent_ops == [("math_cumsum", ["id"])]
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    from stepframe.streaming import stream_table
+
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    plan = Plan().math_multiply("id", 2)
+    assert stream_table(spark, plan, f"{tmp_path}/in", f"{tmp_path}/work").count() == 10
+    spark.range(10, 15).write.mode("append").parquet(f"{tmp_path}/in")
+    assert {r.id for r in stream_table(spark, plan, f"{tmp_path}/in", f"{tmp_path}/work").collect()} == {2 * i for i in range(15)}
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark):
+    from stepframe.sources import shared_folder
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "a"})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Session.sparkContext.master = "local[2]"
+    assert shared_folder(Session()).startswith("file://")
+    assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_entry_does_not_hide_errors(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    if entry._llm() == ({}, {}):
+        pytest.skip("no corpus operators here")
+    real = builtins.__import__
+
+    def broken(missing):
+        def load(name, *args, **kwargs):
+            if name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(name, *args, **kwargs)
+
+        return load
+
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    monkeypatch.setattr(builtins, "__import__", broken("xxhash"))
+    assert entry._llm() == ({}, {}) and len(entry.queries()) > 100
+    monkeypatch.setattr(builtins, "__import__", broken("stepframe.llm.gone"))
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
