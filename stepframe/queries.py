@@ -53,7 +53,16 @@ query("col_fill_null_min_max", "events", lambda p: p.col_select(["event_id", "us
 query("col_drop_null", "orders", lambda p: p.col_select(["o_orderkey", "o_orderstatus"]).map_value_to_null("o_orderstatus", "F").col_drop_null("o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
 query("col_drop_zero", "lineitem", lambda p: p.col_select(["l_orderkey", "l_discount"]).col_drop_zero("l_discount"), "SELECT l_orderkey, l_discount FROM lineitem WHERE l_discount <> 0")
 query("col_add", "region", lambda p: p.col_add("flag", value="x").col_add("n", value=7).col_add("copy", "r_name"), "SELECT *, 'x' AS flag, CAST(7 AS BIGINT) AS n, r_name AS copy FROM region")
-query("col_add_uuid", "customer", lambda p: p.col_add_uuid("uid", 12))
+
+
+def uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are random; how many there are, that all differ, and their length are not."""
+    out = Plan().col_add_uuid("uid", 12).transform(table(spark, sf_dir, "customer"))
+    return out.agg(F.count("c_custkey").alias("n"), F.count_distinct("uid").alias("different"), F.min(F.length("uid")).alias("shortest"), F.max(F.length("uid")).alias("longest"))
+
+
+QUERIES["col_add_uuid"] = uuids
+ORACLE["col_add_uuid"] = "SELECT count(*) AS n, count(*) AS different, CAST(12 AS INTEGER) AS shortest, CAST(12 AS INTEGER) AS longest FROM customer"
 query("col_hash", "orders", lambda p: p.col_select(["o_orderkey", "o_orderstatus", "o_orderpriority"]).col_hash(["o_orderkey", "o_orderpriority"], "h", salt="s1"), "SELECT o_orderkey, o_orderstatus, o_orderpriority, substr(sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority || 's1'), 1, 16) AS h FROM orders")
 query("col_coalesce", "customer", lambda p: p.col_select(["c_custkey", "c_mktsegment", "c_name"]).map_value_to_null("c_mktsegment", "BUILDING").col_coalesce(["c_mktsegment", "c_name"], "first"), "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_name, coalesce(nullif(c_mktsegment, 'BUILDING'), c_name) AS first FROM customer")
 query("col_expr", "part", lambda p: p.col_select(["p_partkey", "p_size"]).col_expr("big", "p_size * 2 > 50"), "SELECT p_partkey, p_size, p_size * 2 > 50 AS big FROM part")
@@ -102,13 +111,29 @@ query("rows_unique_last", "events", lambda p: p.rows_unique("user_id", keep="las
 query("rows_unique_any", "lineitem", lambda p: p.col_select(["l_returnflag", "l_linestatus", "l_linenumber"]).rows_unique(keep="any"), "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 query("rows_unique_none", "lineitem", lambda p: p.col_select(["l_orderkey", "l_linenumber", "l_partkey"]).rows_unique(["l_orderkey", "l_linenumber"], keep="none"), "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1")
 query("rows_filter", "orders", lambda p: p.rows_filter((Col("o_totalprice").between(50000, 200000) & ~Col("o_orderstatus").is_in(["P"])) | Col("o_orderpriority").str_starts_with("1-")), "SELECT * FROM orders WHERE (o_totalprice BETWEEN 50000 AND 200000 AND NOT o_orderstatus IN ('P')) OR starts_with(o_orderpriority, '1-')")
-query("rows_filter_compare", "orders", lambda p: p.rows_filter((Col("o_totalprice") > 1000) & (Col("o_orderdate") >= dt.datetime(1994, 1, 1)) & (Col("o_orderstatus") != "F") & ((Col("o_custkey") <= 900) | (Col("o_custkey") == 1000) | (Col("o_custkey") < 5))), "SELECT * FROM orders WHERE o_totalprice > 1000 AND o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderstatus <> 'F' AND (o_custkey <= 900 OR o_custkey = 1000 OR o_custkey < 5)")
+query("rows_filter_compare", "orders", lambda p: p.rows_filter((Col("o_totalprice") > 1000) & (Col("o_orderdate") >= dt.datetime(1996, 6, 1)) & (Col("o_orderstatus") != "F") & ((Col("o_custkey") <= 900) | (Col("o_custkey") == 1000) | (Col("o_custkey") < 5))), "SELECT * FROM orders WHERE o_totalprice > 1000 AND o_orderdate >= TIMESTAMP '1996-06-01' AND o_orderstatus <> 'F' AND (o_custkey <= 900 OR o_custkey = 1000 OR o_custkey < 5)")
 query("rows_filter_strings", "part", lambda p: p.map_value_to_null("p_brand", "Brand#11").rows_filter((Col("p_type").str_contains("a") | Col("p_type").str_contains("^[S-Z].*D$", literal=False) | Col("p_name").str_ends_with("1") | Col("p_brand").is_null()) & (Col("p_brand").is_not_null() | (Col("p_brand") == None))), "SELECT p_partkey, p_name, nullif(p_brand, 'Brand#11') AS p_brand, p_type, p_size, p_retailprice FROM part WHERE contains(p_type, 'a') OR regexp_matches(p_type, '^[S-Z].*D$') OR ends_with(p_name, '1') OR nullif(p_brand, 'Brand#11') IS NULL")  # noqa: E711
 query("rows_drop", "orders", lambda p: p.col_select(["o_orderkey", "o_orderstatus"]).map_value_to_null("o_orderstatus", "P").rows_drop(Col("o_orderstatus") == "F"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
 query("rows_deduplicate", "events", lambda p: p.rows_deduplicate("user_id", "ts", keep="last").col_select(["event_id", "user_id"]), "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
 query("rows_explode", "embeddings", lambda p: p.col_select(["vec_id", "embedding"]).rows_explode("embedding"), "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings")
 query("rows_melt", "customer", lambda p: p.col_cast("c_nationkey", "Float64").rows_melt(["c_custkey"], ["c_nationkey", "c_acctbal"], "what", "v"), "SELECT c_custkey, 'c_nationkey' AS what, CAST(c_nationkey AS DOUBLE) AS v FROM customer UNION ALL SELECT c_custkey, 'c_acctbal', c_acctbal FROM customer")
-query("rows_sample", "orders", lambda p: p.rows_sample(fraction=0.1, seed=3))
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows a sample has is random; that they are rows of the table, how many, and that none comes twice is not."""
+    orders = table(spark, sf_dir, "orders")
+    out = []
+    for name, params in (("tenth", {"fraction": 0.1}), ("hundred", {"n": 100}), ("all", {"fraction": 1.0}), ("none", {"n": 0})):
+        rows = Plan().rows_sample(**params, seed=3).transform(orders).join(orders.select("o_orderkey", F.col("o_custkey").alias("own")), "o_orderkey", "left")
+        out.append(rows.agg(F.lit(name).alias("sample"), F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different"), F.count_if(F.col("own") == F.col("o_custkey")).alias("found")))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+QUERIES["rows_sample"] = sampled
+ORACLE["rows_sample"] = """
+SELECT sample, n, n AS different, n AS found
+FROM (SELECT count(*) AS c FROM orders), LATERAL (VALUES ('tenth', CAST(floor(c * 0.1) AS BIGINT)), ('hundred', least(c, 100)), ('all', c), ('none', 0)) t(sample, n)
+"""
 query("rows_head", "events", lambda p: p.rows_head(25), "SELECT * FROM events ORDER BY event_id LIMIT 25", "event_id")
 query("rows_tail", "events", lambda p: p.rows_tail(25), "SELECT * FROM events ORDER BY event_id DESC LIMIT 25", "event_id")
 query("rows_sort", "orders", lambda p: p.rows_sort(["o_totalprice", "o_orderkey"], descending=[True, False]).col_select(["o_orderkey", "o_totalprice"]), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
@@ -144,7 +169,7 @@ query("dt_age_years", "orders", lambda p: p.col_expr("now", "TIMESTAMP_NTZ '2000
 for _u, _w in {"1mo": "month", "1w": "week", "1q": "quarter", "1y": "year", "1d": "day", "1h": "hour"}.items():
     query(f"dt_truncate_{_w}", "events", lambda p, u=_u: p.dt_truncate("ts", u, "x").col_select(["event_id", "x"]), f"SELECT event_id, CAST(date_trunc('{_w}', ts) AS TIMESTAMP) AS x FROM events")
 query("dt_truncate_multiple", "events", lambda p: p.dt_truncate("ts", "15m", "x").col_select(["event_id", "x"]), "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS x FROM events")
-query("dt_is_between", "orders", lambda p: p.dt_is_between("o_orderdate", "1994-01-01", "1995-01-01", "x", closed="left").col_select(["o_orderkey", "x"]), "SELECT o_orderkey, o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1995-01-01' AS x FROM orders")
+query("dt_is_between", "orders", lambda p: p.dt_is_between("o_orderdate", "1996-03-01", "1998-01-01", "x", closed="left").col_select(["o_orderkey", "x"]), "SELECT o_orderkey, o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1998-01-01' AS x FROM orders")
 
 # -- mapping and encoding operators
 _SEGMENTS = {"BUILDING": "B", "MACHINERY": "M"}
@@ -209,14 +234,14 @@ UNION ALL SELECT 4, 'rows_head', count(*), 3 FROM h UNION ALL SELECT 5, 'rows_un
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan that went through JSON and code."""
-    plan = Plan().rows_filter(Col("o_orderdate") < dt.datetime(1995, 1, 1)).map_values("o_custkey", {1: 100, 2: 200}).dt_year("o_orderdate", "year").col_select(["o_orderkey", "o_custkey", "year"])
+    plan = Plan().rows_filter(Col("o_orderdate") < dt.datetime(1997, 5, 1)).map_values("o_custkey", {1: 100, 2: 200}).dt_year("o_orderdate", "year").col_select(["o_orderkey", "o_custkey", "year"])
     scope: dict = {}
     exec(Plan.from_json(plan.to_json()).to_python("rebuilt"), scope)  # noqa: S102  our own code
     return scope["rebuilt"].transform(table(spark, sf_dir, "orders"))
 
 
 QUERIES["plan_round_trip"] = stored
-ORACLE["plan_round_trip"] = "SELECT o_orderkey, CASE o_custkey WHEN 1 THEN 100 WHEN 2 THEN 200 ELSE o_custkey END AS o_custkey, year(o_orderdate) AS year FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'"
+ORACLE["plan_round_trip"] = "SELECT o_orderkey, CASE o_custkey WHEN 1 THEN 100 WHEN 2 THEN 200 ELSE o_custkey END AS o_custkey, year(o_orderdate) AS year FROM orders WHERE o_orderdate < TIMESTAMP '1997-05-01'"
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +255,7 @@ ORACLE["plan_chunked"] = "SELECT l_orderkey, l_partkey FROM lineitem QUALIFY cou
 
 def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, protocol = Plan().rows_filter(Col("o_orderstatus") == "O").process_chunked(table(spark, sf_dir, "orders"), chunk_size=4000)
-    return spark.createDataFrame([(x["chunk"], x["input_rows"]) for x in protocol.chunks], "chunk long, input_rows long")
+    return spark.createDataFrame([(x.chunk_index, x.input_rows) for x in protocol.chunks], "chunk long, input_rows long")
 
 
 QUERIES["plan_chunk_report"] = chunk_report
@@ -240,12 +265,16 @@ ORACLE["plan_chunk_report"] = "SELECT i AS chunk, CAST(least(4000, (SELECT count
 def dry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a dry run says of each step."""
     plan = Plan().col_drop("c_name").math_add("c_mktsegment", 1).col_rename("c_acctbal", "balance").math_add("balance", 1)
-    run = plan.dry_run(table(spark, sf_dir, "customer"))
-    return spark.createDataFrame([(s.number, s.operation, len(s.schema_after), s.error) for s in run.steps], "step long, operation string, n long, error string")
+    customers = table(spark, sf_dir, "customer")
+    run = plan.dry_run(customers)
+    steps = spark.createDataFrame([(s.number, s.operation, len(s.schema_after), s.error) for s in run.steps], "step long, operation string, n long, error string")
+    # the plan without its wrong step really gives the columns that the dry run told
+    out = Plan().col_drop("c_name").col_rename("c_acctbal", "balance").math_add("balance", 1).transform(customers).select(*run.output_columns)
+    return steps.crossJoin(F.broadcast(out.agg(F.floor(F.sum("balance")).cast("long").alias("balance"))))  # one row
 
 
 QUERIES["plan_dry_run"] = dry
-ORACLE["plan_dry_run"] = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'col_drop', CAST(4 AS BIGINT), NULL), (2, 'math_add', 4, 'Column ''c_mktsegment'' is string, expected numeric'), (3, 'col_rename', 4, NULL), (4, 'math_add', 4, NULL)) t(step, operation, n, error)"
+ORACLE["plan_dry_run"] = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'col_drop', CAST(4 AS BIGINT), NULL), (2, 'math_add', 4, 'Column ''c_mktsegment'' is string, expected numeric'), (3, 'col_rename', 4, NULL), (4, 'math_add', 4, NULL)) t(step, operation, n, error), (SELECT CAST(floor(sum(c_acctbal + 1)) AS BIGINT) AS balance FROM customer)"
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,15 +283,18 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = frame_hash(d)
     turned = frame_hash(d.select(*reversed(d.columns)).repartition(5))
     changed = frame_hash(d.withColumn("o_custkey", F.when(F.col("o_orderkey") == F.lit(d.agg(F.min("o_orderkey")).first()[0]), -1).otherwise(F.col("o_custkey"))))
-    return spark.createDataFrame([(first == turned, first == changed, len(first))], "same boolean, same_after_change boolean, digits long")
+    # hashes of the rows of each status differ just where the rows do
+    parts = {r[0]: frame_hash(d.where(F.col("o_orderstatus") == r[0]).select("o_orderpriority")) for r in d.select("o_orderstatus").distinct().collect()}
+    rows = [(k, first == turned, first == changed, len(h), d.where(F.col("o_orderstatus") == k).count(), h == frame_hash(d.where(F.col("o_orderstatus") == k).select("o_orderpriority").repartition(3))) for k, h in parts.items()]
+    return spark.createDataFrame(rows, "status string, same boolean, same_after_change boolean, digits long, n long, repeated boolean")
 
 
 QUERIES["plan_frame_hash"] = hashes
-ORACLE["plan_frame_hash"] = "SELECT true AS same, false AS same_after_change, CAST(16 AS BIGINT) AS digits"
+ORACLE["plan_frame_hash"] = "SELECT o_orderstatus AS status, true AS same, false AS same_after_change, CAST(16 AS BIGINT) AS digits, count(*) AS n, true AS repeated FROM orders GROUP BY o_orderstatus"
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row-wise plan on a stream that reads the table as files, into a memory table."""
+    """A row-wise plan on a stream that reads the table as files and writes Parquet."""
     plan = Plan().rows_filter(Col("event_type") == "purchase").math_multiply("value", 2).col_select(["event_id", "value"])
     return stream_table(spark, plan, f"{sf_dir}/events.parquet", shared_folder(spark))
 
