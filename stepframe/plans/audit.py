@@ -87,6 +87,7 @@ def run(steps: Sequence[Step], data: DataFrame, references: dict[str, DataFrame]
     A barrier is where later operators would distort what is counted below them: limits stop the
     rows above them early, range partitioning runs them twice, and derived statistics are actions of their
     own. There the frame is persisted and counted, so that every step's metrics come from one evaluation.
+    The last such frame stays, as the result reads it; protocol.release() gives it up.
     """
     if audit not in LEVELS:
         raise ValueError(f"audit must be one of {LEVELS}, got {audit!r}")
@@ -109,6 +110,8 @@ def run(steps: Sequence[Step], data: DataFrame, references: dict[str, DataFrame]
     def barrier(df: DataFrame) -> DataFrame:
         df = df.persist()
         df.count()
+        protocol.release()  # all that goes on reads the new frame
+        protocol.hold(df)
         for i, w in waiting:
             results[i] = w.result()
         waiting.clear()

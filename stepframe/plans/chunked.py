@@ -84,6 +84,15 @@ class ChunkedProtocol:
         self.metadata: dict[str, Any] = {}
         self.chunks: list[ChunkInfo] = []
         self.elapsed = 0.0
+        self._held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> None:
+        self._held.append(df)
+
+    def release(self) -> None:
+        """Unpersist what the run keeps for its result; a result used after it is computed again."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def set_metadata(self, **values: Any) -> ChunkedProtocol:
         self.metadata.update(values)
@@ -150,14 +159,18 @@ class ChunkedProtocol:
         print(self.summary())
 
 
-def number_chunks(df: DataFrame, keys: list[str], chunk_size: int) -> DataFrame:
-    """Add the chunk: runs of ``chunk_size`` rows, or of whole keys (null is a key) up to about as many rows."""
+def number_chunks(df: DataFrame, keys: list[str], chunk_size: int, held: list[DataFrame]) -> DataFrame:
+    """Add the chunk: runs of ``chunk_size`` rows, or of whole keys (null is a key) up to about as many rows.
+
+    ``held`` takes frames to unpersist once the chunks are computed.
+    """
     if keys:
         # one row a key; those of one range of the key order are summed apart, so no task holds all keys
         counts = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias(f"{HIDDEN}n"))
         order = [c(k).asc_nulls_first() for k in keys]
         counts = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(f"{HIDDEN}p", F.spark_partition_id()).persist()
         counts.count()
+        held.append(counts)
         before = counts.groupBy(f"{HIDDEN}p").agg(F.sum(f"{HIDDEN}n").alias(f"{HIDDEN}t"))
         before = before.select(f"{HIDDEN}p", F.coalesce(F.sum(f"{HIDDEN}t").over(Window.orderBy(f"{HIDDEN}p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{HIDDEN}o"))
         start = F.sum(f"{HIDDEN}n").over(Window.partitionBy(f"{HIDDEN}p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"{HIDDEN}n") + F.col(f"{HIDDEN}o")
@@ -202,7 +215,8 @@ def run_chunked(plan: Any, source: Any, partition_key: Any, chunk_size: int, ref
     ctx = Context(references)
     # chunks are joined to the rows, so their order is taken at the source
     df = ctx.number_rows(data) if start_of_order(plan.steps) is not None else data
-    df = number_chunks(df, keys, chunk_size).persist()
+    held: list[DataFrame] = []
+    source_rows = df = number_chunks(df, keys, chunk_size, held).persist()
     hashed = lambda d: [x for x in metrics(d, True)]
     before = {r[CHUNK]: r.asDict() for r in df.groupBy(CHUNK).agg(*hashed(df)).collect()}  # one row a chunk
     for s in plan.steps:
@@ -210,6 +224,9 @@ def run_chunked(plan: Any, source: Any, partition_key: Any, chunk_size: int, ref
     carried = CHUNK in df.columns
     df = df.persist()
     after = {r[0]: r.asDict() for r in df.groupBy((F.col(CHUNK) if carried else F.lit(0)).alias("k")).agg(*hashed(df)).collect()}
+    for x in (source_rows, *held):
+        x.unpersist()
+    protocol.hold(df)
     for k in sorted(before) if carried else [0]:
         x = before[k] if carried else None
         y = after.get(k, {"rows": 0})

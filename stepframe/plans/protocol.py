@@ -29,6 +29,15 @@ class Protocol:
         self.derived: dict[str, dict[str, Any]] = {}
         self.elapsed = 0.0
         self._steps: list[dict[str, Any]] = []
+        self._held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> None:
+        self._held.append(df)
+
+    def release(self) -> None:
+        """Unpersist what the run keeps for its result; a result used after it is computed again."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def set_input(self, shape: Shape, content: str | None) -> None:
         self.input_shape, self.input_hash = tuple(shape), content
