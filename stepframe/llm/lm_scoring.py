@@ -101,7 +101,7 @@ def tokens(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, edge]) if rows else edge, np.array(bounds, np.int64).reshape(-1, 2)
 
 
-def chunks(rows: list[str], size: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def chunks(rows: list[str], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``size`` characters, and at most 60,000 of them (their numbers are sent in 16 bits)."""
     start = held = 0
     for i, text in enumerate(rows):
@@ -137,7 +137,7 @@ def forward(model: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np
 class Learner:
     """Adam on the cross entropy of classes."""
 
-    def __init__(self, model: list[np.ndarray], rate: float = 2e-3) -> None:
+    def __init__(self, model: list[np.ndarray], rate: float = 2.8e-3) -> None:
         self.model, self.rate, self.t, self.seen = [p.copy() for p in model], rate, 0, 0
         self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model]
 
@@ -198,16 +198,19 @@ def clusters(docs: DataFrame, counts: np.ndarray, *, text_col: str = "text") ->
 
     def count(batches):
         for batch in batches:
-            rows, found = texts(batch, "text"), []
-            for a, b in chunks(rows):
+            rows, pairs, n = texts(batch, "text"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for a, b in chunks(rows, 1_000_000):
                 h, _ = tokens(rows[a:b])
+                found = []
                 buckets = np.where(h == 0, -1, bucket(h))
                 near = np.where(h == 0, -1, number[buckets])
                 for k in range(1, SIDE + 1):
                     for x, y in ((buckets[k:], near[:-k]), (buckets[:-k], near[k:])):
                         both = (x >= 0) & (y >= 0)
                         found.append(x[both] * ANCHORS + y[both])
-            pairs, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+                new, times = np.unique(np.concatenate(found), return_counts=True)
+                pairs, at = np.unique(np.concatenate([pairs, new]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, times]), len(pairs)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
     pairs = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -225,7 +228,7 @@ def clusters(docs: DataFrame, counts: np.ndarray, *, text_col: str = "text") ->
     return out
 
 
-def train(docs: DataFrame, counts: Counts, *, text_col: str = "text", batch: int = 512, seed: int = 11) -> list[np.ndarray]:
+def train(docs: DataFrame, counts: Counts, *, text_col: str = "text", batch: int = 1024, seed: int = 11) -> list[np.ndarray]:
     """Every task learns from its share of the corpus, from one start; the mean of the models, by words seen, is the model.
 
     Every word of every document is a target once. Means are taken by Spark, a number a row, in whole
