@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._shared import SPACE_CLASS, materialize, packed, uniform, unpacked
 
 #: Cells of the histogram over ranks.
-_CELLS = 65_536
+_CELLS = 4096
 #: How often the ranks are walked down; each time with what still fits.
 _WALKS = 3
 #: Size bands of one doubling. Inclusion depends on the band, so a source has few different probabilities.
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     skipped, and the walk goes on with those small enough for the gap, twice; at last one more document is
     taken if that brings the source nearer to its target.
 
-    The rank at which a walk stops is found on a histogram (source x 65,536 cells), so that no task ever
+    The rank at which a walk stops is found on a histogram (source x 4096 cells), so that no task ever
     sorts a whole source; only the documents of the one cell in which the words run out are put in order. Documents with
     nothing left to draw (p = 0, as in a source that is taken ``max_copies`` times) are not ranked at all.
 
