@@ -170,7 +170,7 @@ def _category_problems(schema: Schema, p: dict[str, Any]) -> list[str]:
     found = p["categories"]
     out = []
     if found is not None and len(set(found)) != len(found):
-        out.append("Duplicate values in categories list")
+        out.append("The categories list names a value more than once")
     drop = p.get("drop")
     if found is not None and drop is not None and drop not in found and drop not in ("first", "last"):
         out.append(f"Drop value '{drop}' not in categories list")

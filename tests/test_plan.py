@@ -102,7 +102,7 @@ def test_filter_errors():
         (Plan().rows_deduplicate("id", "x"), "Sort column 'x' does not exist"),
         (Plan().math_cumsum("id", group_by="g"), "Group-by columns do not exist"),
         (Plan().rows_melt(["q"], ["id"]), "ID columns"),
-        (Plan().map_onehot("name", ["a", "a"]), "Duplicate values in categories list"),
+        (Plan().map_onehot("name", ["a", "a"]), "names a value more than once"),
         (Plan().map_onehot("name", ["a"], drop="b"), "Drop value 'b' not in categories list"),
         (Plan().col_expr("x", "nothing + 1"), "nothing"),
     ],
