@@ -136,13 +136,14 @@ class Context:
         real = values.where("NOT isnan(x)")
         total = values.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.isnan("x"), 1)).alias("real"), F.min("x").alias("low"), F.max(F.when(~F.isnan("x"), F.col("x"))).alias("high")).first()
         found: dict[str, float | None] = {}
+        cuts: dict[tuple[float, float], list[Any]] = {}
         for name, q in asked.items():
             if not total.n:
                 found[name] = None
                 continue
             at = q * (total.n - 1)
             k = int(at)
-            a, b = _order_statistics(real, total, k) if k < total.real else (float("nan"), float("nan"))
+            a, b = _order_statistics(real, total, k, cuts) if k < total.real else (float("nan"), float("nan"))
             found[name] = a if at == k else (k + 1 - at) * a + (at - k) * b
         self.derived.setdefault(label, {}).update(found)
         return found
@@ -152,34 +153,35 @@ class Context:
 _CUTS, _FEW = 4096, 4096
 
 
-def _order_statistics(values: DataFrame, total: Any, k: int) -> tuple[float, float]:
-    """The values of rank k and k + 1 (from 0) of column x; of the last rank twice the last."""
-    low, high, below, inside = total.low, total.high, 0, total.real
+def _order_statistics(values: DataFrame, total: Any, k: int, cuts: dict[tuple[float, float], list[Any]]) -> tuple[float, float]:
+    """The values of rank k and k + 1 (from 0) of column x; of the last rank twice the last. ``cuts`` keeps counts by range."""
+    x, low, high, below, inside = F.col("x"), total.low, total.high, 0, total.real
+
+    def held() -> DataFrame:
+        return values.where((x >= F.lit(low)) & (x <= F.lit(high)))
+
     while inside > _FEW and low < high and (high - low) / _CUTS > 0 and high - low != float("inf"):
-        width = (high - low) / _CUTS
-        cell = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(_CUTS - 1))
-        held = values.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
-        counts = sorted((r.c, r.n, r.a, r.b) for r in held.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect())
         before = (low, high)
-        for _, n, a, b in counts:
-            if k < below + n:
-                low, high, inside = a, b, n
+        if before not in cuts:
+            cell = F.least(F.floor((x - F.lit(low)) / F.lit((high - low) / _CUTS)), F.lit(_CUTS - 1))
+            cuts[before] = sorted(tuple(r) for r in held().groupBy(cell.alias("c")).agg(F.count(F.lit(1)), F.min("x"), F.max("x")).collect())
+        for _, inside, low, high in cuts[before]:
+            if k < below + inside:
                 break
-            below += n
+            below += inside
         if (low, high) == before:
             break
-    held = values.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
-    if low < high:
-        run = below
-        for r in sorted(held.groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()):  # few values, or neighbouring doubles
-            run += r.n
-            if k < run:
-                low = r.x
-                break
-    after = values.agg(F.count(F.when(F.col("x") <= F.lit(low), 1)).alias("n"), F.min(F.when(F.col("x") > F.lit(low), F.col("x"))).alias("next")).first()
-    if k + 1 < after.n:
-        return low, low
-    return low, after.next if after.next is not None else float("nan") if total.n > total.real else low
+    found = [(low, inside)] if low == high else sorted(tuple(r) for r in held().groupBy("x").agg(F.count(F.lit(1))).collect())  # few values, or neighbouring doubles
+    for i, (value, n) in enumerate(found):
+        below += n
+        if k < below:
+            break
+    if k + 1 < below:
+        return value, value
+    if i + 1 < len(found):
+        return value, found[i + 1][0]
+    following = values.where(x > F.lit(value)).agg(F.min("x")).first()[0]
+    return value, following if following is not None else float("nan") if total.n > total.real else value
 
 
 def with_offsets(df: DataFrame, bucket: Column, total: Column, carry: str, reverse: bool = False) -> tuple[DataFrame, str]:
