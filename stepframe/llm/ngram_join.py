@@ -48,8 +48,11 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
        components of that are candidate groups. Every linked pair lies in one group.
     4. The texts of candidates are brought together by group, and each group is compared by a signature
        tree with union-find. A group of over ``cell_tokens`` shingles is dealt at random to cells, each
-       with the group's first set; what does not fall into the group's largest component then meets all
-       its cells in blocks. A task thus holds about ``cell_tokens`` shingles at a time, however large a group.
+       with the group's first set. A task thus holds about ``cell_tokens`` shingles at a time, however
+       large a group. What may link between cells is then compared on the cheaper of two ways, by group:
+       all outside the group's largest component meets all its cells in blocks (near copies hang together,
+       so little is left), or sets meet in lots, one for each shingle that differing components share
+       (groups that are chains of passages, where lots are small).
 
     Rows meet the component of their set, and sets the name of theirs, by keyed_join(): copies or components
     of over 1/1024 of all rows are broadcast, so no task gets a third of them.
@@ -101,11 +104,16 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rest = prefix - (F.element_at("lows", F.col("k") + 1) - F.size(F.filter("held", lambda x: ~x["high"])))
     reached = held.select("row", F.explode(F.slice("held", F.lit(1), F.greatest(rest, F.lit(0)).cast("int"))["h"]).alias("h"))
     heads = reached.groupBy("h").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    groups = components(reached.join(heads, "h").select(F.col("row").alias("a"), F.col("head").alias("b")))
+    linked = materialize(reached.join(heads, "h"), "linked")
+    groups = components(linked.select(F.col("row").alias("a"), F.col("head").alias("b")))
 
     members = groups.join(kinds.select("row", "id", "t", "n", "d1"), groups["node"] == kinds["row"]).select("root", "row", "id", "t", "n", "d1")
     totals = members.groupBy("root").agg(F.ceil(F.sum("n") / cell_tokens).cast("int").alias("cells"))
     members = materialize(members.join(totals, "root"), "members")
+    large = members.where("cells > 1")
+    if large.isEmpty():
+        large = None
+        discard(linked)
     everything, kinds = kinds, materialize(kinds.drop("first", "lows"), "slim_kinds")
     discard(everything)
     bucket = F.pmod(F.xxhash64("row", F.lit(1)), F.col("cells")).cast("int")
@@ -113,9 +121,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     placed = members.withColumn("cell", F.explode(F.when(F.col("row") == F.col("root"), everywhere).otherwise(F.array(bucket))))
     found = _compare(source, placed.select("root", "cell", "row", "id", "t", "d1", F.col("row").alias("label")), n, percent)
     found = materialize(found, "links")
-    large = members.where("cells > 1")
-    if not large.isEmpty():
-        found = found.union(_across(source, large, found, n, percent, cell_tokens))
+    if large is not None:
+        found = found.union(_across(source, large, linked.select("row", "h"), found, n, percent, cell_tokens))
         found = components(found.select(F.col("row").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("row"), F.col("root").alias("label"))
 
     kinds = kinds.join(found.where("row <> label").dropDuplicates(["row"]).withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
@@ -163,19 +170,42 @@ def _compare(source: DataFrame, placed: DataFrame, n: int, percent: int) -> Data
     return dealt.mapInArrow(cells, "row long, label long")
 
 
-def _across(source: DataFrame, large: DataFrame, found: DataFrame, n: int, percent: int, cell_tokens: int) -> DataFrame:
-    """Links between the cells of groups that were dealt to several: what is outside the largest component meets all."""
-    linked = components(found.join(large.select("row").distinct(), "row").select(F.col("row").alias("a"), F.col("label").alias("b")))
-    now = large.join(linked.withColumnRenamed("root", "label"), large["row"] == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "row"))
+def _across(source: DataFrame, large: DataFrame, linked: DataFrame, found: DataFrame, n: int, percent: int, cell_tokens: int) -> DataFrame:
+    """Links between the cells of the groups in ``large``; ``linked``: row, h for each shingle shared by prefixes.
+
+    Either way every two sets that share a prefix shingle, and so every linked pair, are connected already
+    or meet. The price of a way is the shingles of all copies of sets that it deals.
+    """
+    known = components(found.join(large.select("row").distinct(), "row").select(F.col("row").alias("a"), F.col("label").alias("b")))
+    now = large.join(known.withColumnRenamed("root", "label"), large["row"] == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "row"))
     now = materialize(now, "across")
     most = now.groupBy("root", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    now = now.join(most, "root")
-    minors = now.where("label <> main").groupBy("root").agg(F.ceil(F.sum("n") / cell_tokens).cast("int").alias("blocks"))
-    now = now.join(minors, "root")
-    block, bucket = F.pmod(F.xxhash64("row", F.lit(2)), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("cells")).cast("int")
+    outside = F.when(F.col("label") != F.col("main"), F.col("n"))
+    prices = now.join(most, "root").groupBy("root", "main").agg(F.sum("n").alias("all"), F.sum(outside).alias("outside"), F.max("cells").alias("most")).where("outside > 0")
+    prices = prices.withColumn("blocks", F.ceil(F.col("outside") / cell_tokens).cast("int"))
+
+    # a lot for each set of holders; those of one component hold nothing new, and equal holders meet once
+    held = linked.join(now.select("row", "root", "label", "n"), "row")
+    lots = held.groupBy("root", "h").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("tokens"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    lots = lots.where("low < high").groupBy("root", "c", "x", "y").agg(F.min("h").alias("h"), F.ceil(F.first("tokens") / cell_tokens).cast("int").alias("parts"), F.first("tokens").alias("tokens"))
+    lots = materialize(lots.select("root", "h", "c", "parts", "tokens"), "lots")
+    by_lots = lots.groupBy("root").agg(F.sum(F.col("tokens").cast("double") * F.col("parts")).alias("by_lots"))
+    by_cells = F.col("blocks").cast("double") * F.col("all") + F.col("most").cast("double") * F.col("outside")
+    ways = prices.join(by_lots, "root", "left").withColumn("split", F.coalesce("by_lots", F.lit(0.0)) < by_cells)
+    ways = materialize(ways.select("root", "main", "blocks", "split"), "ways")
+
+    wanted = ["root", "cell", "row", "id", "t", "d1", "label"]
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    meets_blocks = now.select("*", F.explode(upto("blocks")).alias("__block"), bucket.alias("__bucket"))
-    meets_buckets = now.where("label <> main").select("*", block.alias("__block"), F.explode(upto("cells")).alias("__bucket"))
-    placed = meets_blocks.union(meets_buckets).withColumn("cell", (F.col("__block") * F.col("cells") + F.col("__bucket")).cast("int"))
-    placed = placed.select("root", "cell", "row", "id", "t", "d1", "label").distinct()
+    dealt = lambda seed, c: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(c)).cast("int")
+    whole = now.join(ways.where("NOT split"), "root")
+    meets_blocks = whole.select("*", F.explode(upto("blocks")).alias("block"), dealt(1, "cells").alias("bucket"))
+    meets_buckets = whole.where("label <> main").select("*", dealt(2, "blocks").alias("block"), F.explode(upto("cells")).alias("bucket"))
+    placed = meets_blocks.union(meets_buckets).withColumn("cell", (F.col("block") * F.col("cells") + F.col("bucket")).cast("int")).select(*wanted)
+
+    # a lot of over cell_tokens is dealt to parts, and every two of them meet in a cell
+    taken = lots.join(ways.where("split").select("root"), "root", "left_semi").select("h", "c", "parts")
+    apart = keyed_join(linked, taken, ["h"], "c", linked.count()).join(now.drop("root"), "row")
+    apart = apart.select("*", dealt(3, "parts").alias("part"), F.explode(upto("parts")).alias("other"))
+    apart = apart.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).withColumnRenamed("h", "root")
+    placed = placed.union(apart.select(*wanted)).distinct()
     return materialize(_compare(source, placed, n, percent), "across_links").union(now.select("row", "label"))

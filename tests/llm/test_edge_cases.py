@@ -319,6 +319,24 @@ def test_join_with_cells_of_any_size(spark, cell_tokens):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_chains_of_passages_meet_in_lots(spark, monkeypatch):
+    """A group that does not hold together is split by its own shared shingles: copies grow with the group, not its square."""
+    from stepframe.llm import ngram_join as module
+
+    compare, dealt = module._compare, []
+    monkeypatch.setattr(module, "_compare", lambda source, placed, *rest: dealt.append(placed.count()) or compare(source, placed, *rest))
+    share = lambda i: words(30, 7000 + i)
+    for size in (40, 160):
+        dealt.clear()
+        texts = [f"{share(i)} {words(3, 9000 + i)} {share(i + 1)}" for i in range(size)]
+        texts += [t + " more" for t in texts[::9]]
+        rows = list(enumerate(texts))
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join(d, cell_tokens=200, classes=((None, 100.0),)).collect()}
+        assert got == brute_components(rows, 4, 85)
+        assert len(dealt) == 2 and dealt[1] <= 6 * len(rows), dealt
+
+
 def test_join_of_repeated_ids(spark):
     d = spark.createDataFrame([(1, words(40)), (1, words(40, 2)), (2, words(40)), (None, words(40)), (None, None)], "doc_id long, text string")
     got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join(d).collect()), key=str)
