@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import from_texts, quoted, texts
+from ._shared import from_texts, materialize, quoted, texts
 
 WIDTHS = (2, 3, 4)
 UNDETERMINED = "und"
@@ -122,19 +122,36 @@ class ByteCNN:
         return np.concatenate(out) if out else np.zeros((0, len(self.langs)), np.float32)
 
 
+#: Cells that the hashes are counted in, again and again.
+_CELLS = 256
+
+
+def _least_hashes(keys: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of least ``hash`` (ties: least ``k``) of each ``l``.
+
+    Three counts by cell, each within the cell that the n-th row lies in, leave about n + rows / 256^3 of a language to sort.
+    """
+    down = Window.partitionBy("l").orderBy("cell")
+    keys = materialize(keys.withColumn("sure", F.lit(False)), "lang_keys")
+    for level in (1, 2, 3):
+        here = F.when(F.col("sure"), -1).otherwise(F.pmod(F.shiftright("hash", 64 - 8 * level) + (_CELLS // 2 if level == 1 else 0), F.lit(_CELLS)))
+        keys = keys.withColumn("cell", here.cast("int"))
+        counts = keys.groupBy("l", "cell").count()
+        counts = counts.withColumn("before", F.sum("count").over(down) - F.col("count")).where(F.col("before") < n)
+        last = counts.groupBy("l").agg(F.max("cell").alias("last"))  # one row a language
+        keys = keys.join(last, "l").where("cell <= last").withColumn("sure", F.col("cell") < F.col("last")).drop("cell", "last")
+        keys = materialize(keys, f"lang_keys{level}")
+    return keys.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy("hash", "k"))).where(F.col("nth") <= n)
+
+
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = 2500, windows_per_doc: int = 3, window: int = 256, seed: int = 7) -> ByteCNN | None:
     """Fit on windows of at most ``max_per_lang`` labelled documents of each language; None without any.
 
-    They are those of least hash of the id, found in parts of each language first, so every language that
-    a document with a text is labelled with is in the model. Rows that share id and language count as one,
-    that of least text.
+    They are those of least hash of the id in each language, so every language that a document with a
+    text is labelled with is in the model. Rows that share id and language count as one, that of least text.
     """
     labelled = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = labelled.select(F.col("id").alias("k"), F.col("lang").alias("l")).distinct()
-    chosen = chosen.withColumn("hash", F.xxhash64("k", F.lit(seed))).withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(64)))
-    for keys in (["l", "part"], ["l"]):
-        by_hash = Window.partitionBy(*keys).orderBy("hash", "k")
-        chosen = chosen.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= max_per_lang)
+    chosen = _least_hashes(labelled.select(F.col("id").alias("k"), F.col("lang").alias("l")).distinct().withColumn("hash", F.xxhash64("k", F.lit(seed))), max_per_lang)
     chosen = chosen.select("k", "l")
     same = F.col("k").eqNullSafe(F.col("id")) & (F.col("l") == F.col("lang"))
     sample = labelled.join(F.broadcast(chosen), same).groupBy("lang", "id").agg(F.min("text").alias("text"))  # at most max_per_lang rows a language

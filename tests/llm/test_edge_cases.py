@@ -526,6 +526,13 @@ def test_lengths_are_planned(low, high):
         assert max(lengths) == 4096  # though no piece needs over 1024
 
 
+def test_least_hashes_equal_a_sort(spark):
+    rows = [(k, lang, (k * 7919 % 97 - 40) << shift) for lang, shift in (("a", 57), ("b", 40), ("c", 0)) for k in range(300)] + [(1, "d", 5), (2, "d", -5)]
+    got = lid._least_hashes(spark.createDataFrame(rows, "k long, l string, hash long"), 50).collect()
+    want = {(k, lang) for lang in "abcd" for _, k in sorted((h, k) for k, x, h in rows if x == lang)[:50]}
+    assert {(r.k, r.l) for r in got} == want and len(got) == len(want)
+
+
 def test_rare_languages_are_learned(spark):
     ids = [r.id for r in spark.range(4100).orderBy(F.xxhash64("id", F.lit(7))).collect()]
     rows = [(i, words(5, i), "en" if k < 4098 else "is", "a") for k, i in enumerate(ids)] + [(9000, None, "no", "a"), (None, "without an id", "xx", "a")]
