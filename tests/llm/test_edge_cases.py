@@ -259,6 +259,50 @@ def test_quality_of_odd_rows(spark, odd):
     assert qm.score(odd, qm.train(odd, labels.limit(0))).count() == 11
 
 
+def downward(model, good, bad, ridge=1e-3):
+    """The gradient of the mean loss, pair by pair."""
+    a, b = (good - model.mean) / model.scale, (bad - model.mean) / model.scale
+    p = 1 / (1 + np.exp((a @ model.w)[:, None] - (b @ model.w)[None]))
+    return (a.T @ p.sum(1) - b.T @ p.sum(0)) / p.size - ridge * model.w
+
+
+def test_ranker_learns_from_all_pairs():
+    r = np.random.default_rng(0)
+    good, bad = r.normal(0.3, 1, (300, 4)), r.normal(-0.3, 1, (200, 4))  # 60,000 pairs
+    model = qm.fit(good, bad)
+    assert abs(downward(model, good, bad)).max() < 1e-7
+    assert (model.scores(np.concatenate([good, bad])) < 0.3).sum() == 200
+    # far outliers and equal rows
+    good[0], bad[:50] = 1e4, bad[0]
+    assert abs(downward(qm.fit(good, bad), good, bad)).max() < 1e-7
+
+
+def test_threshold_of_a_given_share():
+    r = np.random.default_rng(1)
+    good, bad = r.normal(1, 1, (90, 3)), r.normal(-1, 1, (30, 3))
+    model = qm.fit(good, bad, share_bad=0.5)
+    below = [(model.scores(x) < 0.3).mean() for x in (good, bad)]
+    assert 0.5 <= 0.5 * below[0] + 0.5 * below[1] < 0.5 + 0.5 / 30 + 1e-9
+
+
+def test_quality_is_learnt_from_every_document(spark):
+    r = np.random.default_rng(2)
+    words = ["alpha", "Beta", "gamma,", "delta.", "###", "$$ ||", "42", "x\n", "(y)"]
+    n_good, n_bad = 3300, 150
+    texts = [" ".join(r.choice(words, r.integers(3, 25), p=[0.2, 0.1, 0.1, 0.2, 0.02, 0.03, 0.1, 0.15, 0.1])) for _ in range(n_good)]
+    texts += [" ".join(r.choice(words, r.integers(3, 15), p=[0.2, 0.1, 0.1, 0.1, 0.15, 0.1, 0.1, 0.1, 0.05])) for _ in range(n_bad)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < n_good)) for i in range(len(texts))], "doc_id long, quality int")
+    x = np.array([qm.features(t) for t in texts])
+    model, again = qm.train(docs, labels), qm.train(docs.repartition(7), labels.repartition(3))
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0) + 1e-6)
+    assert abs(downward(model, x[:n_good], x[n_good:])).max() < 1e-7
+    assert model.w == pytest.approx(qm.fit(x[:n_good], x[n_good:]).w, abs=1e-4)
+    s = model.scores(x)
+    assert (s < 0.3).sum() >= n_bad > (s < s[s < 0.3].max()).sum()  # equal texts fall together
+    assert (again.w == model.w).all() and again.threshold == model.threshold  # whatever the order of rows
+
+
 def test_lz_parse_equals_definition():
     r = np.random.default_rng(0)
     for _ in range(100):
