@@ -167,8 +167,8 @@ def _ordered(s: np.ndarray) -> np.ndarray:
     return np.where(s < 0, s ^ np.int64(2**63 - 1), s)
 
 
-def _reaching(tally: Tally, w: np.ndarray, mass: np.ndarray, goal: float) -> tuple[float, np.ndarray]:
-    """The least score up to which the classes' masses reach the goal, and the rows of either class up to it.
+def _reaching(tally: Tally, w: np.ndarray, mass: np.ndarray, goal: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The least score up to which the classes' masses reach the goal, and the rows of either class below and up to it.
 
     It is exact: 16 bits of all scores are counted at a time.
     """
@@ -188,7 +188,7 @@ def _reaching(tally: Tally, w: np.ndarray, mass: np.ndarray, goal: float) -> tup
         upto = before + np.cumsum([v for _, v in cells], axis=0)
         k = min(int(np.searchsorted(upto @ mass, goal)), len(cells) - 1)
         prefix, before = cells[k][0][1], upto[k - 1] if k else before
-    return float(_ordered(np.array([prefix], np.int64)).view(np.float64)[0]), upto[k]
+    return float(_ordered(np.array([prefix], np.int64)).view(np.float64)[0]), before, upto[k]
 
 
 def _learn(tally: Tally, n_good: int, n_bad: int, mean: np.ndarray, scale: np.ndarray, share: float, cut: float, ridge: float, steps: int) -> Ranker:
@@ -208,9 +208,13 @@ def _learn(tally: Tally, n_good: int, n_bad: int, mean: np.ndarray, scale: np.nd
             new = at(w + step)
         w, (value, grad, hess) = w + step, new
     # each class stands for its share of documents, whatever their numbers
-    below, upto = _reaching(standard, w, np.array([share / n_bad, (1 - share) / n_good]), share - 1e-9)
-    above = _reaching(standard, w, np.ones(2), upto.sum() + 0.5)[0] if upto.sum() < n else below
-    return Ranker(mean, scale, w, (below + above) / 2, cut)
+    mass = np.array([share / n_bad, (1 - share) / n_good])
+    border, under, upto = _reaching(standard, w, mass, share - 1e-9)
+    # equal scores fall on one side together, on that which comes nearer to the share
+    falls = (upto - under).sum() == 1 or upto @ mass - share <= share - under @ mass
+    rows = (upto if falls else under).sum()
+    beside = _reaching(standard, w, np.ones(2), rows + (0.5 if falls else -0.5))[0] if 0 < rows < n else border
+    return Ranker(mean, scale, w, (border + beside) / 2, cut)
 
 
 def fit(good: np.ndarray, bad: np.ndarray, *, share_bad: float | None = None, cut: float = 0.3, ridge: float = 1e-3, steps: int = 25) -> Ranker:
@@ -218,7 +222,8 @@ def fit(good: np.ndarray, bad: np.ndarray, *, share_bad: float | None = None, cu
 
     No pair is formed: scores are spread over nodes, and the loss is summed over the pairs of nodes.
     The threshold is the quantile of the scores that leaves ``share_bad`` of the documents below (by
-    default the share of bad ones), in the middle between the two scores beside it. Without one of the
+    default the share of bad ones), in the middle between the two scores beside it; equal scores fall on
+    one side together, on that which comes nearer to the share. Without one of the
     classes nothing can be ranked: all scores then are near 1 (only good) or near 0 (only bad or none).
     """
     x = np.concatenate([good, bad]) if len(good) + len(bad) else np.zeros((1, N_FEATURES))

@@ -283,6 +283,12 @@ def test_threshold_of_a_given_share():
     model = qm.fit(good, bad, share_bad=0.5)
     below = [(model.scores(x) < 0.3).mean() for x in (good, bad)]
     assert 0.5 <= 0.5 * below[0] + 0.5 * below[1] < 0.5 + 0.5 / 30 + 1e-9
+    # a large group of copies at the quantile stays whole, on the side nearer to the share
+    for copies, n_bad in ((500, 60), (30, 60)):
+        good, bad = np.concatenate([np.zeros((copies, 1)), np.ones((400, 1))]), np.linspace(-1, 0.5, n_bad)[:, None]
+        model = qm.fit(good, bad)
+        s, x = model.scores(np.concatenate([good, bad])), np.concatenate([good, bad])[:, 0]
+        assert (s < 0.3).sum() == ((x < 0).sum() if copies == 500 else (x <= 0).sum())  # 40 or 540, 40 or 70
 
 
 def test_quality_is_learnt_from_every_document(spark):
