@@ -226,6 +226,10 @@ def math_diff_from_agg(df: DataFrame, ctx: Context, column: str, agg: str, new_c
     return replace(df, new_column, x - value).drop(f"{HIDDEN}agg")
 
 
+#: Up to this lag the last rows of the ranges are broadcast, as their totals are; beyond it they are joined by a shuffle.
+_SHORT_LAG = 16
+
+
 @operator(exists("column"), either, all_exist("order_by", "Order-by columns"), all_exist("group_by", "Group-by columns"), scope=grouped, group="group_by", ordered=True, prepare=lambda p: p if p["lag"] >= 1 else _at_least_one())
 def math_diff_lag(df: DataFrame, ctx: Context, column: str, order_by: str | list[str], new_column: str, group_by: str | Sequence[str] | None = None, lag: int = 1) -> DataFrame:
     """The value less the one ``lag`` rows before, in the given order; without groups rows are sorted so."""
@@ -245,7 +249,10 @@ def math_diff_lag(df: DataFrame, ctx: Context, column: str, order_by: str | list
     df = df.withColumn(number, F.row_number().over(w)).withColumn(value, F.lag(x, lag).over(w)).withColumn(last, F.lead(F.lit(1), lag).over(w).isNull())
     place = F.col(number) + F.coalesce(F.col(f"{HIDDEN}carry"), F.lit(0))
     tails = df.where(F.col(last)).select((place + lag).alias(key), x.alias(f"{HIDDEN}tail"))  # at most lag rows a range
-    df = df.join(tails, F.when(F.col(number) <= lag, place) == F.col(key), "left")
+    if lag <= _SHORT_LAG:
+        tails = F.broadcast(tails)
+    # rows that look nothing up have keys of their own, which no tail has: as nulls they would all meet in one task
+    df = df.join(tails, F.when(F.col(number) <= lag, place).otherwise(-place) == F.col(key), "left")
     before = F.when(F.col(number) <= lag, F.col(f"{HIDDEN}tail")).otherwise(F.col(value))
     df = df.withColumn(f"{HIDDEN}out", x - before)
     return _reordered(replace(df, new_column, F.col(f"{HIDDEN}out")), columns, new_column)

@@ -110,16 +110,14 @@ class Context:
         if (is_numeric(t) or is_datetime(t)) and not isinstance(t, T.DecimalType):
             key = F.unix_micros(x.cast("timestamp")).cast("double") if is_datetime(t) else x.cast("double")
             bounds = df.select(key.alias("x")).where("x IS NOT NULL AND NOT isnan(x)").approxQuantile("x", [i / n for i in range(1, n)], 0.5 / n) if n > 1 else []
+            bounds = sorted(bounds)
             nan = F.isnan(key)
         else:
             key, nan = x, F.lit(False)
-            found = df.select(x.alias("x")).where("x IS NOT NULL").repartitionByRange(n, "x").groupBy(F.spark_partition_id()).agg(F.max("x").alias("x")).collect()
-            bounds = sorted(r.x for r in found)[:-1]
-        bounds = sorted(set(bounds))
-        rank = F.lit(0)
-        for b in bounds:
-            rank = rank + (key > F.lit(b)).cast("int")
-        rank = F.when(nan, F.lit(len(bounds))).otherwise(rank)
+            found = df.select(x.alias("x")).where("x IS NOT NULL").repartitionByRange(n, "x").groupBy(F.spark_partition_id()).agg(F.max("x").alias("x")).sort("x").collect()
+            bounds = [r.x for r in found][:-1]
+        bounds = list(dict.fromkeys(bounds))
+        rank = F.when(nan, F.lit(len(bounds))).otherwise(_bounds_below(key, bounds))
         first = -1 if nulls_first else len(bounds) + 1
         return F.when(x.isNull(), F.lit(first)).otherwise(-rank + len(bounds) if descending else rank)
 
@@ -184,6 +182,15 @@ def _order_statistics(values: DataFrame, total: Any, k: int, cuts: dict[tuple[fl
     return value, following if following is not None else float("nan") if total.n > total.real else value
 
 
+def _bounds_below(key: Column, bounds: list[Any]) -> Column:
+    """How many of the ascending bounds are less than the key, by bisection: a comparison with each costs rows times ranges."""
+    if not bounds:
+        return F.lit(0)
+    values = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(values, n + step - 1) < key, n + step).otherwise(n))
+
+
 def with_offsets(df: DataFrame, bucket: Column, total: Column, carry: str, reverse: bool = False) -> tuple[DataFrame, str]:
     """Add ``carry``: the sum of ``total`` over all buckets before a row's own; returns the bucket's name too."""
     name = f"{HIDDEN}bucket"

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepframe import Col, Plan
+from stepframe.operators.math import math_diff_lag
+from stepframe.plans.context import Context, Key
 
 
 def values(df, *columns):
@@ -266,6 +268,45 @@ def test_lag_over_ranges(spark, order, lag):
     assert [x.x for x in out.collect()] == [i * i - (i - lag) ** 2 if i >= lag else None for i in range(60)]
 
 
+@pytest.mark.parametrize("lag", [1, 100])
+def test_lag_over_ranges_spreads_rows(spark, lag):
+    """Rows that look nothing up in the ranges before don't meet in one task, whether or not those are broadcast."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        d = spark.range(0, 16000, 1, 3).select((F.col("id") * 7919 % 16000).alias("id"))
+        ctx = Context(order=[Key("id")])
+        out = math_diff_lag(d, ctx, "id", "id", "x", lag=lag)
+        n = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(n) == 16000 and max(n) < 8000
+        assert out.where(F.col("x") == lag).count() == 16000 - lag and out.where("x IS NULL").count() == lag
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "timestamp"])
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 100])
+def test_ranges_follow_the_order(spark, kind, descending, n):
+    r = random.Random(n)
+    d = spark.createDataFrame([(r.choice([None, r.randint(-50, 50)]),) for _ in range(400)], "v bigint").select(F.col("v").cast(kind).alias("v"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        bucket = Context().ranges(d, "v", descending, nulls_first=True)
+        plan = physical(d.select(bucket))
+        assert plan.count(" > ") + plan.count(" < ") <= 4  # bisection, however many ranges; not a comparison with each bound
+        by = F.col("v").desc_nulls_first() if descending else F.col("v").asc_nulls_first()
+        got = [tuple(x) for x in d.select("v", bucket.alias("b")).orderBy(by).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [b for _, b in got] == sorted(b for _, b in got) and len(dict(got)) == len(set(got))
+    assert len({b for _, b in got}) >= min(n, 20)
+
+
 @pytest.mark.parametrize("kind", ["string", "decimal(10,1)", "boolean"])
 @pytest.mark.parametrize("method", ["dense", "min", "average"])
 def test_rank_of_any_type_by_ranges(spark, kind, method):
